@@ -25,15 +25,23 @@ def _mul32(a: Column, b: Column) -> Column:
     return (F.shiftleft(high.bitwiseAND(0xFFFF), 16) + low).bitwiseAND(MASK)
 
 
+def _let(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def uniform(seed, draw) -> Column:
     """Draw number ``draw`` (from 0) of the mulberry32 sequence of ``seed``, in [0, 1)."""
     s = _c(seed).cast("long").bitwiseAND(MASK)
     n = (_c(draw).cast("long") + 1).bitwiseAND(MASK)
-    a = (s + _mul32(n, F.lit(STEP).cast("long"))).bitwiseAND(MASK)
-    t = _mul32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
-    mixed = _mul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))
-    t = t.bitwiseXOR((t + mixed).bitwiseAND(MASK))
-    return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(TWO_32)
+    state = (s + _mul32(n, F.lit(STEP).cast("long"))).bitwiseAND(MASK)
+
+    def scramble(t: Column) -> Column:
+        mixed = _mul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))
+        return t.bitwiseXOR((t + mixed).bitwiseAND(MASK))
+
+    t = _let(state, lambda a: _mul32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1))))
+    return _let(_let(t, scramble), lambda u: u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(TWO_32))
 
 
 def gauss(seed, draw) -> Column:
@@ -45,8 +53,7 @@ def gauss(seed, draw) -> Column:
 
 
 def gauss_from(u: Column, w: Column) -> Column:
-    u = F.when(u == 0, F.lit(0.5 / TWO_32)).otherwise(u)
-    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * w)
+    return F.sqrt(-2 * F.ln(F.greatest(u, F.lit(0.5 / TWO_32)))) * F.cos(2 * math.pi * w)
 
 
 def draws_of(dist: str) -> int:
