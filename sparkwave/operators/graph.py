@@ -54,7 +54,7 @@ def _to_smaller(e: DataFrame) -> DataFrame:
 
 def _is_stars(e: DataFrame) -> bool:
     """Every node has one root and no root has a root."""
-    twice = e.groupBy("u").count().where(F.col("count") > 1).limit(1).count()
-    if twice:
-        return False
-    return e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() == 0
+    sides = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                    F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = e.select(F.inline(sides)).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).limit(1).count() == 0

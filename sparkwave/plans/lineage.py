@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and forget how it was made."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the written table.
+
+    Computes ``df`` once (an RDD checkpoint would compute its last stage twice),
+    survives the loss of executors, and gives later joins the true size.
+    """
+    where = shared_folder(df.sparkSession, "table")
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

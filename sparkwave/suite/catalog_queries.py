@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sparkwave.operators import catalog as C
 from sparkwave.operators import lines as L
 from sparkwave.operators import symbols as Y
-from sparkwave.plans.lineage import ensure_checkpoint_dir
+from sparkwave.plans.lineage import shared_folder
 from sparkwave.sources import corpus as O
 from sparkwave.functions.names import safe_path
 from sparkwave.suite.registry import query, rounded, table
 
 
-def scratch(spark, what: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
-
-
 # ------------------------------------------------------------------ definition rows
 
 FOLDERS = ("Models/Manufacturer/", "Models/Diode/", "Models/Uncategorized/spice_complete/", "Models/Uncategorized/")
@@ -186,7 +178,7 @@ def snk2(spark, sf):
 
 @query("snk1_write_catalog", DEFS + "SELECT kind, count(*) AS n, count(DISTINCT name) AS names FROM d GROUP BY kind")
 def snk1(spark, sf):
-    where = scratch(spark, "catalog")
+    where = shared_folder(spark, "catalog")
     O.write_catalog(defs(spark, sf), where)
     return O.read_catalog(spark, where).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names"))
 
