@@ -1 +1,83 @@
-"""To come."""
+"""The events table read as a stream, drained, and compared with the batch answers."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from sparkwave.operators import measure as M
+from sparkwave.plans.lineage import shared_folder
+from sparkwave.sources.waves import waves_from_events
+from sparkwave.streaming import waves as W
+from sparkwave.suite.registry import query, rounded, table
+from sparkwave.suite.wave_queries import LEVEL, PRE
+
+
+def stream(spark, sf):
+    e = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return waves_from_events(e, "ts", "event_type", "value", F.col("user_id") % 8, "event_id")
+
+
+def _table(spark, df, mode):
+    name = f"drained_{uuid.uuid4().hex}"
+    writer = df.writeStream.outputMode(mode).format("memory").queryName(name)
+    W.run_available(writer.option("checkpointLocation", shared_folder(spark, "stream")))
+    return spark.table(name)
+
+
+@query("str1_str2_drained_stream", PRE + "SELECT run, sig, i, v FROM w")
+def str1(spark, sf):
+    out = shared_folder(spark, "stream")
+    writer = stream(spark, sf).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+    W.run_available(writer)
+    return spark.read.parquet(f"{out}/rows").select("run", "sig", "i", "v")
+
+
+@query("str3_stream_range", PRE + "SELECT run, sig, min(v) AS lo, max(v) AS hi, count(*) AS n FROM w GROUP BY run, sig")
+def str3(spark, sf):
+    return _table(spark, W.stream_range(stream(spark, sf)), "complete")
+
+
+@query("str4_stream_progress", PRE + "SELECT run, round(max(t), 6) AS t, count(*) AS accepted FROM w GROUP BY run")
+def str4(spark, sf):
+    return _table(spark, W.stream_progress(stream(spark, sf)), "complete").select("run", rounded("t"), "accepted")
+
+
+@query("str5_stream_capture", PRE + "SELECT run, sig, i FROM w WHERE sig IN ('click', 'view')")
+def str5(spark, sf):
+    out = shared_folder(spark, "stream")
+    kept = W.stream_capture(stream(spark, sf), [M.Spec("a", "trig", "click", other="view")])
+    W.run_available(kept.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/rows").select("run", "sig", "i")
+
+
+@query(
+    "str6_stream_crossings",
+    PRE + f""", c AS (SELECT run, sig, i, t, t1, v - {LEVEL} AS a, v1 - {LEVEL} AS b FROM s WHERE t1 > t0 AND t < tn)
+    SELECT run, sig, i, round(t - a * (t1 - t) / (b - a), 4) AS x FROM c WHERE (a < 0 AND b >= 0) OR (a > 0 AND b <= 0)""",
+)
+def str6(spark, sf):
+    out = shared_folder(spark, "stream")
+    W.run_available(W.stream_crossings(stream(spark, sf), out, LEVEL))
+    return W.read_crossings(spark, out).select("run", "sig", "i", rounded("x", 4))
+
+
+@query(
+    "str7_stream_integ",
+    PRE + "SELECT run, sig, round(sum((v + v1) / 2 * (t1 - t)), 2) AS area, round(sum((v + v1) / 2 * (t1 - t)) / any_value(tn - t0), 6) AS avg FROM s GROUP BY run, sig",
+)
+def str7(spark, sf):
+    out = shared_folder(spark, "stream")
+    W.run_available(W.stream_integ(stream(spark, sf), out))
+    return W.read_integral(spark, out).select("run", "sig", rounded("area", 2), rounded("avg"))
+
+
+@query(
+    "str8_str9_stream_monotonic",
+    PRE + "SELECT count(*) FILTER (t1 < t) AS violations, 'DONE' AS status FROM s",
+)
+def str8(spark, sf):
+    out = shared_folder(spark, "stream")
+    q = W.run_available(W.stream_monotonic(stream(spark, sf), out))
+    return W.read_violations(spark, out).agg(F.count(F.lit(1)).alias("violations")).withColumn("status", F.lit(W.status(q)))
