@@ -170,30 +170,31 @@ def _aggregates(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     x = F.coalesce(F.col("s.at"), high, F.lit(float("inf")))
     seg = F.when(F.col("x_next").isNotNull(), F.struct("t", "i", "v", "x_next", "v_next"))
     sample = F.struct("t", "i", "v")
-    g = r.groupBy("run", F.col("s.name").alias("name"), F.col("s.func").alias("func")).agg(
-        F.first("s").alias("s"),
+    # plain numbers aggregate by hash; rows as values need a sort, so only if asked for
+    funcs = {s.func for s in specs}
+    numbers = [
+        F.max("s.t_from").alias("t_from"),
+        F.max("s.t_to").alias("t_to"),
+        F.max("s.at").alias("at"),
         F.count(F.lit(1)).alias("n"),
         F.min("t").alias("t0"),
         F.max("t").alias("tn"),
         F.sum(F.when(in_window, area)).alias("area"),
         F.min(F.when(inside, v)).alias("lo"),
         F.max(F.when(inside, v)).alias("hi"),
-        F.max(F.when(t < x, seg)).alias("seg"),
-        F.min(seg).alias("first_seg"),
-        F.max(sample).alias("last"),
-        F.min_by("v", F.struct(F.abs(t - F.col("s.at")), F.col("i"))).alias("near"),
-    )
-    lo = F.greatest(F.coalesce(F.col("s.t_from"), F.col("t0")), F.col("t0"))
-    hi = F.least(F.coalesce(F.col("s.t_to"), F.col("tn")), F.col("tn"))
-    raw_lo = F.coalesce(F.col("s.t_from"), F.col("t0"))
-    raw_hi = F.coalesce(F.col("s.t_to"), F.col("tn"))
+    ]
+    if funcs & {"deriv", "find"}:
+        numbers += [F.max(F.when(t < x, seg)).alias("seg"), F.min(seg).alias("first_seg")]
+    if funcs & set(LAST):
+        near = F.min_by("v", F.struct(F.abs(t - F.col("s.at")), F.col("i")))
+        numbers += [F.max(sample).alias("last"), near.alias("near")]
+    g = r.groupBy("run", F.col("s.name").alias("name"), F.col("s.func").alias("func")).agg(*numbers)
+    raw_lo = F.coalesce("t_from", "t0")
+    raw_hi = F.coalesce("t_to", "tn")
+    lo = F.greatest(raw_lo, F.col("t0"))
+    hi = F.least(raw_hi, F.col("tn"))
     good = (raw_hi > raw_lo) & (raw_lo < F.col("tn")) & (raw_hi > F.col("t0"))
-    hit = F.coalesce("seg", "first_seg")
     func = F.col("func")
-    slope = F.when(
-        hit["x_next"] > hit["t"], (hit["v_next"] - hit["v"]) / (hit["x_next"] - hit["t"])
-    ).otherwise(0.0)
-    read = S.lerp(F.col("s.at"), hit["t"], hit["v"], hit["x_next"], hit["v_next"])
     value = (
         F.when(func == "integ", F.col("area"))
         .when(func == "avg", F.try_divide(F.col("area"), hi - lo))
@@ -201,11 +202,16 @@ def _aggregates(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
         .when(func == "max", F.col("hi"))
         .when(func == "min", F.col("lo"))
         .when(func == "pp", F.col("hi") - F.col("lo"))
-        .when(func == "deriv", slope)
-        .when(func == "find", read)
-        .when(func == "final", F.col("last.v"))
-        .when(func == "nearest", F.col("near"))
     )
+    if funcs & {"deriv", "find"}:
+        hit = F.coalesce("seg", "first_seg")
+        slope = F.when(
+            hit["x_next"] > hit["t"], (hit["v_next"] - hit["v"]) / (hit["x_next"] - hit["t"])
+        ).otherwise(0.0)
+        read = S.lerp(F.col("at"), hit["t"], hit["v"], hit["x_next"], hit["v_next"])
+        value = value.when(func == "deriv", slope).when(func == "find", read)
+    if funcs & set(LAST):
+        value = value.when(func == "final", F.col("last.v")).when(func == "nearest", F.col("near"))
     free = func.isin(*LAST)
     usable = free | ((F.col("n") >= 2) & good)
     error = (
