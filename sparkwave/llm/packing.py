@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwave.llm.bpe_transducer import byte_letters
-from sparkwave.llm.common import text_of
+from sparkwave.llm.common import map_batches, text_of
 from sparkwave.llm.segments import PRE_TOKEN, WHITE
 
 SEQUENCE_TOKENS = 1024
@@ -130,7 +130,7 @@ def pack(
 
     kind = df.schema[id].dataType.simpleString()
     docs = df.select(F.col(id).alias("id"), text_of(text).alias("t"))
-    out = docs.mapInArrow(pieces, f"id {kind}, start long, length long, ids binary, doc_tokens long")
+    out = map_batches(docs, pieces, f"id {kind}, start long, length long, ids binary, doc_tokens long")
     bucket = F.log2("length").cast("int")
     number = F.shiftleft(bucket.cast("long"), _NUMBER_BITS) + F.monotonically_increasing_id()
     numbered = out.select("*", bucket.alias("bucket"), number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

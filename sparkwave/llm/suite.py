@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwave.llm import exact_dedup, packing, piece_bpe, quality_rules, token_counts
+from sparkwave.llm import exact_dedup, packing, piece_bpe, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 from sparkwave.suite.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).select("doc_id", "toxicity.*").withColumnRenamed("rejected", "toxic")
+
+
 @query("op4_piece_bpe")
 def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = piece_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -62,12 +69,33 @@ def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(id: str = "doc_id"):
+    """Rows that nothing is learned from."""
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 4 == 2, F.lit(False))
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = quality_classifier.score(docs, model)
+    predicted = (F.col("score") >= quality_classifier.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query("op9_url_filter")
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge(pages, url_filter.fit(pages))
+    return judged.select("page_id", *[F.col("filter")[f].alias(f) for f in ("host", "path", "rule", "verdict")])
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 _RATIO = "(CASE WHEN {d} > 0 THEN {n}::DOUBLE / {d} ELSE 0 END)"
 _BROKEN = " OR ".join(

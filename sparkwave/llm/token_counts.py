@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwave.llm.bpe_transducer import transducer
-from sparkwave.llm.common import text_of
+from sparkwave.llm.common import map_batches, text_of
 from sparkwave.llm.segments import PRE_TOKEN, Cache, between, first_border, last_border, segments
 from sparkwave.plans.lineage import cut
 
@@ -127,9 +127,9 @@ def count_tokens(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str =
     rows = chunks.select("rid", "id", "n_bytes", (F.size("chunks") - 1).alias("last"), F.posexplode("chunks").alias("pos", "chunk"))
     id_type = df.schema[id].dataType
     schema = f"rid long, id {id_type.simpleString()}, n_bytes long, pos int, last int, head string, middle long, tail string"
-    mapped = cut(rows.mapInArrow(maps, schema))
+    mapped = cut(map_batches(rows, maps, schema))
     short = mapped.where("last = 0").select("id", "n_bytes", F.col("middle").alias("n_tokens"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "head", "middle", "tail")))
     long = mapped.where("last > 0").groupBy("rid").agg(F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), ordered.alias("maps"))
-    long = long.select("id", "n_bytes", "maps").mapInArrow(joined, f"id {id_type.simpleString()}, n_bytes long, n_tokens long")
+    long = map_batches(long.select("id", "n_bytes", "maps"), joined, f"id {id_type.simpleString()}, n_bytes long, n_tokens long")
     return short.unionByName(long).withColumnRenamed("id", id)
