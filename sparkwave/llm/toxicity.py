@@ -78,8 +78,7 @@ class Model:
 
 def _descend(rows: list[np.ndarray], grades: np.ndarray, size: int, top: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds: one update per row and epoch."""
-    # small samples bear less shrinking
-    learner = Ftrl(size, alpha=1.0, l1=min(8.0, len(rows) / 400), l2=0.01)
+    learner = Ftrl(size, alpha=1.0, l1=8.0, l2=0.01)
     thresholds = 1.0 + np.arange(top, dtype=float)
     spent = np.ones(top)
     for _ in range(EPOCHS):
