@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwave.llm import exact_dedup, line_dedup, packing, piece_bpe, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from sparkwave.llm import exact_dedup, jaccard_join, line_dedup, packing, piece_bpe, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 from sparkwave.suite.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *[F.col("quality")[f].alias(f) for f in fields])
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
