@@ -372,13 +372,10 @@ def _pick_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle_
     return map_batches(docs.join(one, ["d1", "d2"]).select("c", "t"), run, "c long, items binary").dropDuplicates(["c"])
 
 
-def join(
+def _join(
     df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle_words: int = WORDS, light: int | None = None
 ) -> DataFrame:
-    """One row per row of ``df``: the id, ``n_shingles`` and ``component_id``.
-
-    ``light`` overrides the boundary between light and heavy sets (for tests).
-    """
+    """One row per row of ``df``: ``d1`` and ``d2`` (the document's name), ``id``, ``n`` and ``component_id``."""
     t = text_of(text)
     docs = df.select(F.col(id).alias("id"), t.alias("t")).select("*", F.xxhash64("id", "t").alias("d1"), F.xxhash64(F.lit(1), "id", "t").alias("d2"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
@@ -427,5 +424,30 @@ def join(
     grouped = grouped.where("times > 1 or root is not null")
     whole = grouped.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
     known = grouped.join(whole, "root", "left").select("c", "c2", "n", F.coalesce("whole", "least").alias("component_id"))
-    out = named.select("id", "c", "c2", "n").join(cut(known), ["c", "c2", "n"], "left")
-    return out.select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = named.drop("small").join(cut(known), ["c", "c2", "n"], "left")
+    return out.select("d1", "d2", "id", "n", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def join(
+    df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle_words: int = WORDS, light: int | None = None
+) -> DataFrame:
+    """One row per row of ``df``: the id, ``n_shingles`` and ``component_id``.
+
+    ``light`` overrides the boundary between light and heavy sets (for tests).
+    """
+    out = _join(df, id, text, percent, shingle_words, light)
+    return out.select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def drop_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle_words: int = WORDS) -> DataFrame:
+    """The rows of ``df`` that stay, all columns: of each component the document with the smallest id.
+
+    Documents without an id stay where their whole component has none. Rows that agree in id and text are one document.
+    """
+    found = _join(df, id, text, percent, shingle_words)
+    stay = found.where(F.col("id") == F.col("component_id")).dropDuplicates(["component_id"])
+    unknown = found.where(F.col("component_id").isNull())
+    stay = stay.unionByName(unknown).select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"))
+    t = text_of(text)
+    same = (F.xxhash64(F.col(id), t) == F.col("_d1")) & (F.xxhash64(F.lit(1), F.col(id), t) == F.col("_d2"))
+    return df.join(stay, same).dropDuplicates(["_d1", "_d2"]).select(*df.columns)
