@@ -73,7 +73,7 @@ class Model:
         at = np.searchsorted(self.words, found)
         at[at == len(self.words)] = 0
         hit = self.words[at] == found if len(self.words) else np.zeros(len(found), bool)
-        return sigmoid(float(self.weights[at[hit]].sum()) - self.thresholds)
+        return np.where(np.isinf(self.thresholds), 0.0, sigmoid(float(self.weights[at[hit]].sum()) - self.thresholds))
 
 
 def _descend(rows: list[np.ndarray], grades: np.ndarray, size: int, top: int) -> tuple[np.ndarray, np.ndarray]:
