@@ -62,12 +62,18 @@ def grid_list(values) -> Column:
     return F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
 
 
-def sweep_values(start, stop, points=10, scale: str = "lin") -> Column:
-    """At least two points, linear or geometric."""
-    n, a, b = F.greatest(_d(points), F.lit(2.0)), _d(start), _d(stop)
+def sweep_value(i, start, stop, points=10, scale: str = "lin") -> Column:
+    """Value ``i`` of at least two points, linear or geometric."""
+    n, a, b, k = F.greatest(_d(points), F.lit(2.0)), _d(start), _d(stop), _d(i)
     if scale == "log":
-        return F.transform(_upto(n - 1), lambda i: a * F.pow(b / a, i / (n - 1)))
-    return F.transform(_upto(n - 1), lambda i: a + (b - a) * (i / (n - 1)))
+        return a * F.pow(b / a, k / (n - 1))
+    return a + (b - a) * (k / (n - 1))
+
+
+def sweep_values(start, stop, points=10, scale: str = "lin") -> Column:
+    """All of them in one array."""
+    n = F.greatest(_d(points), F.lit(2.0))
+    return F.transform(_upto(n - 1), lambda i: sweep_value(i, start, stop, points, scale))
 
 
 def grid_dc(start, stop, step) -> Column:

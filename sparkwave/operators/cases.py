@@ -32,11 +32,10 @@ def sample_sets(spark: SparkSession, spec: Sequence[tuple[str, float, float, str
     return spark.range(trials).select(F.col("id").alias("case_id"), F.create_map(*pairs).alias("params"))
 
 
-def sweep_cases(spark: SparkSession, name: str, grid: Column) -> DataFrame:
-    """One case per grid value, numbered in grid order."""
-    return spark.range(1).select(F.posexplode(grid).alias("case_id", "_v")).select(
-        F.col("case_id").cast("long").alias("case_id"), F.create_map(F.lit(name), F.col("_v")).alias("params")
-    )
+def sweep_cases(spark: SparkSession, name: str, start: float, stop: float, points: int = 10, scale: str = "lin") -> DataFrame:
+    """One case per value, numbered in order; values are computed by the tasks that hold their numbers."""
+    value = G.sweep_value(F.col("id"), F.lit(start), F.lit(stop), F.lit(points), scale)
+    return spark.range(max(2, int(points))).select(F.col("id").alias("case_id"), F.create_map(F.lit(name), value).alias("params"))
 
 
 def nested_cases(outer: Column, inner: Column, names: tuple[str, str]) -> Callable[[DataFrame], DataFrame]:
@@ -170,7 +169,7 @@ def summarize(
 
 def sweep(spark, name, start, stop, points, scale, responses, guard=None) -> tuple[DataFrame, DataFrame]:
     """Values of one parameter, their responses, and the summary."""
-    cases = sweep_cases(spark, name, G.sweep_values(F.lit(start), F.lit(stop), F.lit(points), scale))
+    cases = sweep_cases(spark, name, start, stop, points, scale)
     results = evaluate_cases(cases, responses, guard)
     return results, summarize(results, list(responses))
 

@@ -19,24 +19,29 @@ def diff_runs(
 
     Passes within ``max(atol, rtol*|b|)``, or within ``rtol*max(|b|, 1)`` for
     ``relative_to="unit"``. Reference values smaller than ``floor`` are left out.
+    A sample that is missing on either side does not pass; ``missing`` says so.
     """
-    b = reference.where(F.abs("v") >= floor).select(*keys, "i", F.col("t").alias("x"), F.col("v").alias("b"))
+    b = reference.where(F.col("v").isNull() | (F.abs("v") >= floor)).select(*keys, "i", F.col("t").alias("x"), F.col("v").alias("b"))
     got = M.nearest(ours, b, keys, "x", rows_per_chunk).withColumnRenamed("v", "a")
     gap = F.abs(F.col("a") - F.col("b"))
     size = F.abs("b")
     allowed = rtol * F.greatest(size, F.lit(1.0)) if relative_to == "unit" else F.greatest(F.lit(atol), rtol * size)
     return got.select(
         *keys, "i", "x", "t_near", "a", "b", gap.alias("abs_err"),
-        F.try_divide(gap, size).alias("rel_err"), (gap <= allowed).alias("ok"),
+        F.try_divide(gap, size).alias("rel_err"), F.coalesce(gap <= allowed, F.lit(False)).alias("ok"),
+        gap.isNull().alias("missing"),
     )
 
 
 def worst_error(diff: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFrame:
-    """Largest relative error of each key, the place of it, and how many failed."""
+    """Largest relative error of each key, the place of it, and how many failed.
+
+    A missing sample counts as failed and makes the largest error infinite.
+    """
     at = F.struct(F.col("rel_err"), -F.col("i"))
     return diff.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(~F.col("ok")).alias("failed"),
-        F.max("rel_err").alias("worst"),
+        F.when(F.max("missing"), F.lit(float("inf"))).otherwise(F.max("rel_err")).alias("worst"),
         F.max_by("x", F.when(F.col("rel_err").isNotNull(), at)).alias("worst_at"),
     )

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkwave.plans.lineage import cut
 
-MAX_ROUNDS = 60
 
-
-def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(src, dst)``; the root is the least node.
 
     Alternates two steps: every node hands its larger neighbours to the least one
@@ -21,12 +19,10 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     loops = pairs.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"))
     e = cut(pairs.where(F.col("u") != F.col("v")).distinct())
-    for _ in range(max_rounds):
+    while True:
         e = cut(_to_smaller(_to_larger(e)))
         if _is_stars(e):
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = found.select("root").distinct().select(F.col("root").alias("node"), "root")
     every = found.unionByName(roots)

@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkwave.operators import samples as S
 from sparkwave.plans import chunks as C
-
-MAX_SPECS = 1000
-
+from sparkwave.plans.sizing import broadcast_if_small
 
 @dataclass(frozen=True)
 class Spec:
@@ -55,19 +53,18 @@ LAST = ("final", "nearest")
 KNOWN = (*WINDOWED, *LAST, "when", "find", "trig")
 OUTPUT = ("run", "name", "func", "value", "unit", "error")
 
-NO_WINDOW = "the FROM/TO window contains no data"
-NO_TRIG = "TRIG condition never occurred"
-NO_TARG = "TARG condition never occurred"
+NO_WINDOW = "no samples between the window's ends"
+NO_TRIG = "the first crossing is not there"
+NO_TARG = "the second crossing is not there"
+MISSING = "samples are missing in the window"
 NO_WHEN = "the condition never occurred in the window"
 TOO_SHORT = "a measurement needs at least two points"
 
 
 def specs_from(df: DataFrame) -> list[Spec]:
-    """Read a spec table; the list travels inside the plan, so its length is limited."""
+    """Read a table that a user wrote, one row per measurement."""
     names = [f.name for f in fields(Spec)]
-    rows = df.select(*[n for n in names if n in df.columns]).limit(MAX_SPECS + 1).collect()
-    if len(rows) > MAX_SPECS:
-        raise ValueError(f"more than {MAX_SPECS} measurements; split the table")
+    rows = df.select(*[n for n in names if n in df.columns]).collect()
     return [Spec(**{k: v for k, v in r.asDict().items() if v is not None}) for r in rows]
 
 
@@ -80,19 +77,22 @@ def capture(waves: DataFrame, specs: Iterable[Spec]) -> DataFrame:
     return waves.where(F.lower("sig").isin(needed_signals(specs)))
 
 
-def _literal(spec: Spec) -> Column:
-    pairs = zip(SPEC_TYPES.items(), astuple(spec))
-    return F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in pairs])
+def _table(spark, specs: Sequence[Spec], role=lambda s: s.sig) -> DataFrame:
+    """``(_n, _key, s)``: the measurements as rows, numbered, under the signal they are read from."""
+    inner = ", ".join(f"{n}: {t}" for n, t in SPEC_TYPES.items())
+    rows = [(k, (role(s) or "").lower(), _typed(s)) for k, s in enumerate(specs)]
+    return spark.createDataFrame(rows, f"_n long, _key string, s struct<{inner}>")
+
+
+def _typed(spec: Spec) -> tuple:
+    """A number given as an integer is a double in the table."""
+    return tuple(float(v) if t == "double" and v is not None else v for t, v in zip(SPEC_TYPES.values(), astuple(spec)))
 
 
 def _per_spec(rows: DataFrame, specs: Sequence[Spec], role=lambda s: s.sig) -> DataFrame:
     """Rows of a signal repeated for each measurement of it."""
-    tagged = [F.struct(F.lit(role(s).lower()).alias("key"), _literal(s).alias("spec")) for s in specs]
-    mine = F.filter(F.array(*tagged), lambda e: e["key"] == F.lower(F.col("sig")))
-    wanted = sorted({role(s).lower() for s in specs})
-    return rows.where(F.lower("sig").isin(wanted)).select("*", F.explode(mine).alias("_e")).select(
-        *rows.columns, F.col("_e.spec").alias("s")
-    )
+    mine = broadcast_if_small(_table(rows.sparkSession, specs, role).drop("_n"))
+    return rows.join(mine, F.lower(rows["sig"]) == mine["_key"]).drop("_key")
 
 
 def measure(waves: DataFrame, specs: Sequence[Spec] | DataFrame, rows_per_chunk: int | None = None) -> DataFrame:
@@ -180,6 +180,7 @@ def _aggregates(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
         F.min("t").alias("t0"),
         F.max("t").alias("tn"),
         F.sum(F.when(in_window, area)).alias("area"),
+        F.count_if(in_window & (v.isNull() | F.col("v_next").isNull())).alias("missing"),
         F.min(F.when(inside, v)).alias("lo"),
         F.max(F.when(inside, v)).alias("hi"),
     ]
@@ -217,9 +218,10 @@ def _aggregates(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     error = (
         F.when(~free & (F.col("n") < 2), F.lit(TOO_SHORT))
         .when(~free & ~good, F.lit(NO_WINDOW))
+        .when(func.isin(*AREA) & (F.col("missing") > 0), F.lit(MISSING))
         .when(value.isNull(), F.lit(NO_WINDOW))
     )
-    return g.select("run", "name", "func", F.when(usable, value).alias("value"), error.alias("error"))
+    return g.select("run", "name", "func", F.when(usable & error.isNull(), value).alias("value"), error.alias("error"))
 
 
 def _hits(rows: DataFrame, specs: Sequence[Spec], split: C.Chunks, signal, level, edge, nth, name: str) -> DataFrame:
@@ -313,7 +315,10 @@ def _delays(rows: DataFrame, specs: Sequence[Spec], split: C.Chunks) -> DataFram
 def _with_errors(waves: DataFrame, specs: Sequence[Spec], found: DataFrame | None) -> DataFrame:
     """One row per run and measurement, whatever happened."""
     have = waves.groupBy("run").agg(F.collect_set(F.when(F.lower("sig").isin(needed_signals(specs)), F.lower("sig"))).alias("_sigs"))
-    asked = have.select("run", "_sigs", F.explode(F.array(*[_literal(s) for s in specs])).alias("s"))
+    # every run asks for every measurement: the result has that many rows
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(specs) - 1).cast("long"))).alias("_n")
+    listed = broadcast_if_small(_table(waves.sparkSession, specs).drop("_key"))
+    asked = have.select("run", "_sigs", numbers).join(listed, "_n").select("run", "_sigs", "s")
     knows = lambda c: c.isNull() | F.array_contains("_sigs", F.lower(c))
     status = asked.select(
         "run",

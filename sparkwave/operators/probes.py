@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkwave.functions.names import GROUND_NAMES, is_ground
 from sparkwave.functions.scalar import _c
-
-MAX_PROBES = 1000
+from sparkwave.plans.sizing import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -32,11 +31,9 @@ TYPES = {"id": "string", "kind": "string", "target": "string", "target2": "strin
 
 
 def probes_from(df: DataFrame) -> list[Probe]:
-    """Read a probe table; the list travels inside the plan, so its length is limited."""
+    """Read a table that a user wrote, one row per probe."""
     names = [n for n in TYPES if n in df.columns]
-    rows = df.select(*names).limit(MAX_PROBES + 1).collect()
-    if len(rows) > MAX_PROBES:
-        raise ValueError(f"more than {MAX_PROBES} probes; split the table")
+    rows = df.select(*names).collect()
     return [Probe(**{k: v for k, v in r.asDict().items() if v is not None}) for r in rows]
 
 
@@ -56,10 +53,6 @@ def _terms(p: Probe) -> list[tuple[str, int]]:
     return [(str(n).lower(), s) for n, s in sides if not _grounded(n)]
 
 
-def _struct(p: Probe) -> Column:
-    return F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(TYPES.items(), astuple(p))])
-
-
 def probe_label(kind="kind", target="target", target2="target2") -> Column:
     k, a, b = _c(kind), _c(target), _c(target2)
     return (
@@ -98,7 +91,7 @@ def resolve_probes(waves: DataFrame, probes: Sequence[Probe] | DataFrame) -> Dat
         )
         parts.append(pair.select("run", "id", "i", "t", (F.col("_a") - F.col("_b")).alias("v"), "unit"))
     if ground:
-        ids = F.explode(F.array(*[F.lit(p.id) for p in ground])).alias("id")
+        ids = F.explode(F.lit([p.id for p in ground])).alias("id")
         steps = waves.groupBy("run", "i").agg(F.min("t").alias("t"))
         parts.append(steps.select("run", ids, "i", "t", F.lit(0.0).alias("v"), F.lit("V").alias("unit")))
     out = parts[0]
@@ -108,14 +101,9 @@ def resolve_probes(waves: DataFrame, probes: Sequence[Probe] | DataFrame) -> Dat
 
 
 def _tag(waves: DataFrame, probes: Sequence[Probe]) -> DataFrame:
-    terms = [
-        F.struct(F.lit(key).alias("key"), F.lit(p.id).alias("id"), F.lit(sign).alias("sign"), F.lit(_unit(p)).alias("unit"))
-        for p in probes
-        for key, sign in _terms(p)
-    ]
-    keys = sorted({key for p in probes for key, _ in _terms(p)})
-    mine = F.filter(F.array(*terms), lambda t: t["key"] == F.lower(F.col("sig")))
-    return waves.where(F.lower("sig").isin(keys)).select("run", "i", "t", "v", F.inline(mine)).drop("key")
+    terms = [(key, p.id, sign, _unit(p)) for p in probes for key, sign in _terms(p)]
+    mine = broadcast_if_small(waves.sparkSession.createDataFrame(terms, "_key string, id string, sign int, unit string"))
+    return waves.join(mine, F.lower(waves["sig"]) == mine["_key"]).select("run", "i", "t", "v", "id", "sign", "unit")
 
 
 def probe_status(waves: DataFrame, probes: Sequence[Probe] | DataFrame) -> DataFrame:
@@ -124,7 +112,11 @@ def probe_status(waves: DataFrame, probes: Sequence[Probe] | DataFrame) -> DataF
     wanted = sorted({key for p in probes for key, _ in _terms(p)})
     low = F.lower("sig")
     have = waves.groupBy("run").agg(F.collect_set(F.when(low.isin(wanted), low)).alias("_have"))
-    rows = have.select("run", "_have", F.inline(F.array(*[_struct(p) for p in probes])))
+    # every run reports on every probe: the result has that many rows
+    listed = [(k, *astuple(p)) for k, p in enumerate(probes)]
+    table = waves.sparkSession.createDataFrame(listed, ", ".join(["_n long", *(f"{n} {t}" for n, t in TYPES.items())]))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(probes) - 1).cast("long"))).alias("_n")
+    rows = have.select("run", "_have", numbers).join(broadcast_if_small(table), "_n").drop("_n")
     there = lambda name: F.array_contains("_have", F.lower(name))
     a, b = F.col("target"), F.col("target2")
     gone = lambda n: F.concat(F.lit("no such net: "), n)

@@ -59,7 +59,8 @@ def fourier(
 ) -> DataFrame:
     """Harmonics 0..H of every key: magnitude, phase, and both relative to the first.
 
-    Harmonic 0 is the magnitude of the mean; ``mean`` keeps its sign.
+    Harmonic 0 is the magnitude of the mean; ``mean`` keeps its sign. A key with
+    missing samples in the window has NULL harmonics.
     """
     top = max(1, harmonics)
     periods = max(1, int(periods))
@@ -67,8 +68,9 @@ def fourier(
     grid = resample(waves, freq, periods, n, keys, rows_per_chunk)
     turn = F.lit(-2 * math.pi * periods / n) * F.col("k")
     sums = []
+    whole = F.count("v") == F.count(F.lit(1))
     for h in range(top + 1):
-        sums += [F.sum(F.col("v") * F.cos(turn * h)).alias(f"re{h}"), F.sum(F.col("v") * F.sin(turn * h)).alias(f"im{h}")]
+        sums += [F.when(whole, F.sum(F.col("v") * f(turn * h))).alias(f"{part}{h}") for part, f in (("re", F.cos), ("im", F.sin))]
     # one partially aggregated row per key instead of a row per sample and harmonic
     flat = grid.groupBy(*keys).agg(*sums)
     scale = lambda h: (1 if h == 0 else 2) / n
@@ -92,7 +94,7 @@ def fourier(
     )
     return with_first.select(
         *keys, "n", "freq", "mag",
-        F.when(F.col("_mag1") > 0, F.col("mag") / F.col("_mag1")).otherwise(0.0).alias("norm"),
+        F.when(F.col("_mag1") > 0, F.col("mag") / F.col("_mag1")).when(F.col("_mag1").isNotNull(), 0.0).alias("norm"),
         "phase", (F.col("phase") - F.col("_phase1")).alias("phase_norm"), "mean",
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ CP1252 = {
 def read_corpus(spark: SparkSession, root: str, pattern: str = "*", max_bytes: int | None = None) -> DataFrame:
     """``(path, bytes, content)`` of every matching file below ``root``.
 
-    The size limit is pushed to the file listing, so larger files are not opened.
+    The size limit is pushed to the file listing: larger files are not opened and
+    come back without content.
     """
     df = (
         spark.read.format("binaryFile")
@@ -29,7 +32,8 @@ def read_corpus(spark: SparkSession, root: str, pattern: str = "*", max_bytes: i
         .load(root)
     )
     if max_bytes is not None:
-        df = df.where(F.col("length") <= max_bytes)
+        large = df.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+        df = df.where(F.col("length") <= max_bytes).select("path", "length", "content").unionByName(large)
     return df.select("path", F.col("length").alias("bytes"), "content")
 
 
@@ -53,16 +57,22 @@ def split_failed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_catalog(defs: DataFrame, path: str) -> None:
-    """Definitions by kind, then one meta row; a catalog without meta is incomplete."""
-    defs.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/definitions")
-    stored = defs.sparkSession.read.parquet(f"{path}/definitions")
-    catalog_meta(stored).write.mode("overwrite").parquet(f"{path}/meta")
+    """A new version of the definitions by kind, then the meta row that publishes it.
+
+    Readers see the version of the newest meta row, so a write that breaks off leaves
+    the catalog as it was.
+    """
+    version = uuid.uuid4().hex
+    where = f"{path}/definitions/version={version}"
+    defs.write.partitionBy("kind").parquet(where)
+    stored = defs.sparkSession.read.parquet(where)
+    catalog_meta(stored).withColumn("version", F.lit(version)).write.mode("append").parquet(f"{path}/meta")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Definitions of a complete catalog; fails when the meta row is missing."""
-    spark.read.parquet(f"{path}/meta").limit(1).collect()
-    return spark.read.parquet(f"{path}/definitions")
+    """Definitions of the newest complete version; fails when there is none."""
+    newest = spark.read.parquet(f"{path}/meta").orderBy(F.desc("installed_at"), "version").first()
+    return spark.read.parquet(f"{path}/definitions/version={newest['version']}")
 
 
 def catalog_meta(defs: DataFrame) -> DataFrame:

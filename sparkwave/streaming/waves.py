@@ -72,6 +72,7 @@ def _last_state(spark: SparkSession, folder: str, batch: int) -> DataFrame:
 def _step(out: str, measure: Callable[[DataFrame, DataFrame], DataFrame], rows_per_chunk: int | None):
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.select("run", "sig", "i", "t", "v").persist()
         last = _last_state(spark, out, number)
         seen = last.select("run", "sig", F.struct("t", "i").alias("_last"))
         placed = batch.select("run", "sig", "i", "t", "v").join(seen, ["run", "sig"], "left")
@@ -88,6 +89,7 @@ def _step(out: str, measure: Callable[[DataFrame, DataFrame], DataFrame], rows_p
             "run", "sig", F.coalesce("_old", "_t0").alias("t_first"), "_s.t", "_s.i", "_s.v"
         )
         kept.write.mode("overwrite").parquet(f"{out}/last/batch={number}")
+        batch.unpersist()
 
     return run
 
@@ -115,12 +117,13 @@ def stream_crossings(stream: DataFrame, out: str, level: float, edge: str = "cro
 
 
 def stream_integ(stream: DataFrame, out: str, rows_per_chunk: int | None = None):
-    """A writer that adds the area under each key, one row per key and micro-batch."""
+    """A writer that adds the area under each key, one row per key and micro-batch; NULL where samples are missing."""
 
     def measure(rows: DataFrame, last: DataFrame) -> DataFrame:
         pairs, _ = S.samples(rows, rows_per_chunk=rows_per_chunk)
         part = (F.col("v") + F.col("v_next")) / 2 * (F.col("x_next") - F.col("t"))
-        return pairs.groupBy("run", "sig").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("area"))
+        gaps = F.count_if(F.col("x_next").isNotNull() & part.isNull())
+        return pairs.groupBy("run", "sig").agg(F.when(gaps == 0, F.coalesce(F.sum(part), F.lit(0.0))).alias("area"))
 
     return _writer(stream, out, measure, rows_per_chunk)
 
@@ -155,7 +158,7 @@ def read_crossings(spark: SparkSession, out: str) -> DataFrame:
 def read_integral(spark: SparkSession, out: str) -> DataFrame:
     """Area and time average of every key so far."""
     rows = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows")
-    total = rows.groupBy("run", "sig").agg(F.sum("area").alias("area"))
+    total = rows.groupBy("run", "sig").agg(F.when(F.count("area") == F.count(F.lit(1)), F.sum("area")).alias("area"))
     span = _newest(spark, out).select("run", "sig", (F.col("t") - F.col("t_first")).alias("_span"))
     return total.join(span, ["run", "sig"]).select("run", "sig", "area", F.try_divide("area", F.col("_span")).alias("avg"))
 

@@ -130,7 +130,7 @@ def top2(spark, sf):
     return C.search_symbols(defs(spark, sf), "g", 12)
 
 
-@query("top1_blank_query", None)
+@query("top1_blank_query", "SELECT CAST(0 AS BIGINT) AS n")
 def top1_blank(spark, sf):
     """A blank query finds nothing; counted so that a row comes back."""
     return C.search_names(defs(spark, sf), "  ").agg(F.count(F.lit(1)).alias("n"))
@@ -351,11 +351,15 @@ def src7(spark, sf):
     return table(spark, sf, "part").select("p_partkey", safe_path(path).alias("safe"))
 
 
-@query("src4_read_corpus", None)
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("src4_read_corpus", "SELECT t || '.parquet' AS file, TRUE AS filled FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ") v(t)")
 def src4(spark, sf):
-    """The table files themselves, found by pattern and size; content is not read."""
-    files = O.read_corpus(spark, sf, "*.parquet", 10_000_000)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes")
+    """The table files themselves, found by pattern; content is not read."""
+    files = O.read_corpus(spark, sf, "*.parquet").select("path", "bytes")
+    name = F.regexp_extract("path", r"(\w+\.parquet)(/[^/]+)?$", 1)
+    return files.groupBy(name.alias("file")).agg((F.sum("bytes") > 0).alias("filled"))
 
 
 # ------------------------------------------------------------------ symbol files

@@ -231,10 +231,14 @@ f AS (SELECT run, i, x, row_number() OVER (PARTITION BY run ORDER BY i) AS r FRO
 """
 
 
-@query("win5_when_signals", DIFF + "SELECT run, round(x, 4) AS value FROM f WHERE r = 5")
+@query(
+    "win5_when_signals",
+    DIFF + """SELECT k.run, round(f.x, 4) AS value, CASE WHEN f.x IS NULL THEN 'the condition never occurred in the window' END AS error
+    FROM (SELECT DISTINCT run FROM ww) k LEFT JOIN f ON f.run = k.run AND f.r = 5""",
+)
 def win5(spark, sf):
     got = M.measure_when(two_signals(spark, sf), "out", other="ref", edge="rise", nth=5)
-    return got.where(F.col("value").isNotNull()).select("run", rounded("value", 4))
+    return got.select("run", rounded("value", 4), "error")
 
 
 @query(
@@ -253,14 +257,16 @@ def win6(spark, sf):
 @query(
     "win7_delay",
     CROSS + """, f AS (SELECT run, sig, x, row_number() OVER (PARTITION BY run, sig ORDER BY i) AS r FROM y WHERE rises)
-    SELECT a.run, round(b.x - a.x, 4) AS value FROM f a JOIN f b ON a.run = b.run
-    WHERE a.sig = 'click' AND a.r = 1 AND b.sig = 'view' AND b.r = 3""",
+    SELECT k.run, round(b.x - a.x, 4) AS value,
+           CASE WHEN a.x IS NULL THEN 'the first crossing is not there' WHEN b.x IS NULL THEN 'the second crossing is not there' END AS error
+    FROM (SELECT DISTINCT run FROM w) k LEFT JOIN f a ON a.run = k.run AND a.sig = 'click' AND a.r = 1
+    LEFT JOIN f b ON b.run = k.run AND b.sig = 'view' AND b.r = 3""",
 )
 def win7(spark, sf):
     trig = {"sig": "click", "level": LEVEL, "edge": "rise", "nth": 1}
     targ = {"sig": "view", "level": LEVEL, "edge": "rise", "nth": 3}
     got = M.measure_delay(waves(spark, sf), trig, targ, T_FROM, T_TO)
-    return got.where(F.col("value").isNotNull()).select("run", rounded("value", 4))
+    return got.select("run", rounded("value", 4), "error")
 
 
 @query(
@@ -281,7 +287,7 @@ def win8(spark, sf):
     UNION ALL SELECT run, 'last_click', 'final', final, NULL, NULL FROM b WHERE sig = 'click'
     UNION ALL SELECT run, 'nobody', 'avg', NULL, NULL, 'unknown signal: nobody' FROM r
     UNION ALL SELECT run, 'odd', 'median', NULL, NULL, 'measurement not implemented: median' FROM r
-    UNION ALL SELECT run, 'late', 'avg', NULL, NULL, 'the FROM/TO window contains no data' FROM r
+    UNION ALL SELECT run, 'late', 'avg', NULL, NULL, 'no samples between the window''s ends' FROM r
     UNION ALL SELECT run, 'never', 'when', NULL, NULL, 'the condition never occurred in the window' FROM r""",
 )
 def win9(spark, sf):
@@ -307,7 +313,7 @@ def flt1(spark, sf):
 
 @query(
     "flt1_window_refused",
-    PRE + "SELECT DISTINCT run, sig, 'the FROM/TO window contains no data' AS error FROM w",
+    PRE + "SELECT DISTINCT run, sig, 'no samples between the window''s ends' AS error FROM w",
 )
 def flt1_refused(spark, sf):
     return M.window_of(waves(spark, sf), 2.0, 1.0).select("run", "sig", "error")
@@ -324,13 +330,12 @@ def prj10(spark, sf):
 
 # ------------------------------------------------------------------ joins
 
-POINTS = ", p AS (SELECT run, 'view' AS sig, i AS pid, t + 1000 AS x FROM w WHERE sig = 'purchase')"
+POINTS = ", p AS (SELECT run, unnest(['click', 'error', 'purchase', 'signup', 'view']) AS sig, i AS pid, t + 1000 AS x FROM w)"
 
 
 def _points(w):
-    return w.where(F.col("sig") == "purchase").select(
-        "run", F.lit("view").alias("sig"), F.col("i").alias("pid"), (F.col("t") + 1000).alias("x")
-    )
+    every = F.explode(F.array(*[F.lit(s) for s in SIGNALS])).alias("sig")
+    return w.select("run", every, F.col("i").alias("pid"), (F.col("t") + 1000).alias("x"))
 
 
 ASOF = PRE + POINTS + """, g AS (SELECT run, sig, t, v, t1, v1 FROM s WHERE t1 IS NOT NULL),
@@ -393,6 +398,50 @@ def agg21(spark, sf):
     return compare.worst_error(_diff(spark, sf)).select("run", "sig", "n", "failed", rounded("worst"))
 
 
+# every 97th sample of ours is no number
+GAPS = "CASE WHEN {i} % 97 = 0 THEN NULL ELSE {v} END"
+
+
+def _gaps(df):
+    return df.withColumn("v", W.clean(F.when(F.col("i") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("v"))))
+
+
+@query(
+    "join7_diff_runs_missing",
+    DIFFED.replace("w.v AS vl", GAPS.format(i="w.i", v="w.v") + " AS vl").replace("w.v AS vr", GAPS.format(i="w.i", v="w.v") + " AS vr")
+    + "SELECT run, sig, i, round(va, 6) AS a, coalesce(ok, FALSE) AS ok, va IS NULL AS missing FROM q",
+)
+def join7_missing(spark, sf):
+    w = waves(spark, sf)
+    b = w.withColumn("t", F.col("t") + 5).withColumn("v", F.col("v") * (1 + (F.col("i") % 7) * 0.001))
+    found = compare.diff_runs(_gaps(w), b, rtol=0.0045, floor=1.0)
+    return found.select("run", "sig", "i", rounded("a"), "ok", "missing")
+
+
+@query(
+    "agg21_worst_error_missing",
+    DIFFED.replace("w.v AS vl", GAPS.format(i="w.i", v="w.v") + " AS vl").replace("w.v AS vr", GAPS.format(i="w.i", v="w.v") + " AS vr")
+    + """SELECT run, sig, count(*) AS n, count(*) FILTER (NOT coalesce(ok, FALSE)) AS failed,
+    CASE WHEN count(va) < count(*) THEN CAST('inf' AS DOUBLE) ELSE round(max(rel_err), 6) END AS worst FROM q GROUP BY run, sig""",
+)
+def agg21_missing(spark, sf):
+    w = waves(spark, sf)
+    b = w.withColumn("t", F.col("t") + 5).withColumn("v", F.col("v") * (1 + (F.col("i") % 7) * 0.001))
+    found = compare.diff_runs(_gaps(w), b, rtol=0.0045, floor=1.0)
+    return compare.worst_error(found).select("run", "sig", "n", "failed", rounded("worst"))
+
+
+@query(
+    "agg2_avg_missing",
+    PRE + f""", g AS (SELECT run, sig, count(*) FILTER (t1 > {T_FROM} AND t < {T_TO} AND (i % 97 = 0 OR i1 % 97 = 0)) AS gaps
+    FROM (SELECT *, lead(i) OVER (PARTITION BY run, sig ORDER BY t, i) AS i1 FROM s) GROUP BY run, sig)
+    SELECT run, sig AS name, CASE WHEN gaps > 0 THEN 'samples are missing in the window' END AS error FROM g""",
+)
+def agg2_missing(spark, sf):
+    specs = [M.Spec(x, "avg", x, **WINDOW) for x in SIGNALS]
+    return M.measure(_gaps(waves(spark, sf)), specs).select("run", "name", "error")
+
+
 @query(
     "win16_decimate",
     PRE + """, z AS (SELECT run, sig, i, t, v, n, row_number() OVER (PARTITION BY run, sig ORDER BY t, i) - 1 AS r FROM s),
