@@ -78,3 +78,22 @@ def test_catalog_is_complete_only_with_meta(spark, tmp_path):
     assert O.read_catalog(spark, str(tmp_path / "c")).count() == 2
     meta = spark.read.parquet(str(tmp_path / "c" / "meta")).first()
     assert (meta.files, meta.names, meta.definitions) == (1, 2, 2)
+
+
+def test_interrupted_rewrite_leaves_the_catalog(spark, tmp_path, monkeypatch):
+    import pytest
+
+    where = str(tmp_path / "c")
+    d = spark.createDataFrame([("a", "model", "p", 1), ("b", "subckt", "p", 2)], "name string, kind string, path string, line int")
+    O.write_catalog(d, where)
+
+    def broken(defs):
+        raise RuntimeError("stopped before the meta row")
+
+    monkeypatch.setattr(O, "catalog_meta", broken)
+    with pytest.raises(RuntimeError):
+        O.write_catalog(d.limit(1), where)
+    monkeypatch.undo()
+    assert O.read_catalog(spark, where).count() == 2
+    O.write_catalog(d.limit(1), where)
+    assert O.read_catalog(spark, where).count() == 1

@@ -134,3 +134,39 @@ def test_draws_do_not_depend_on_partitions(spark):
     for parts in (1, 7):
         df = spark.range(0, 500, 1, parts).select("id", uniform(F.lit(42), "id").alias("u"))
         assert [r.u for r in df.orderBy("id").collect()] == reference(42, 500)
+
+
+def test_missing_samples_are_errors(spark):
+    rows = [(1, "s", i, float(i), None if i == 4 else 10.0) for i in range(11)]
+    w = spark.createDataFrame(rows, "run long, sig string, i long, t double, v double")
+    specs = [M.Spec(f, f, "s") for f in ("avg", "integ", "rms", "max")] + [M.Spec("late", "avg", "s", t_from=6.0, t_to=9.0)]
+    got = {r.name: (r.value, r.error) for r in M.measure(w, specs).collect()}
+    assert {got[f] for f in ("avg", "integ", "rms")} == {(None, M.MISSING)}
+    assert got["max"] == (10.0, None) and got["late"] == (10.0, None)
+
+
+def test_missing_samples_fail_a_comparison(spark):
+    rows = [(1, "s", i, float(i), 10.0) for i in range(5)]
+    schema = "run long, sig string, i long, t double, v double"
+    whole = spark.createDataFrame(rows, schema)
+    gap = spark.createDataFrame([(*r[:4], None if r[2] == 2 else r[4]) for r in rows], schema)
+    for ours, reference in ((gap, whole), (whole, gap)):
+        worst = compare.worst_error(compare.diff_runs(ours, reference)).first()
+        assert (worst.n, worst.failed, worst.worst) == (5, 1, float("inf"))
+    assert compare.worst_error(compare.diff_runs(whole, whole)).first().failed == 0
+
+
+def test_thousands_of_measurements(spark):
+    w = spark.createDataFrame([(1, "s", i, float(i), float(i)) for i in range(11)], "run long, sig string, i long, t double, v double")
+    specs = spark.range(5000).selectExpr("concat('m', id) AS name", "'avg' AS func", "'s' AS sig", "0.0D AS t_from", "(1 + id % 10) * 1.0D AS t_to")
+    got = M.measure(w, specs).collect()
+    assert len(got) == 5000 and all(abs(r.value - (1 + int(r.name[1:]) % 10) / 2) < 1e-9 for r in got)
+
+
+def test_sweep_is_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    df = cases.sweep_cases(spark, "r", 1.0, 5.0, 10_000_000)
+    assert df.rdd.getNumPartitions() > 1
+    last = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("params")["r"]).alias("top"), F.min(F.col("params")["r"]).alias("low")).first()
+    assert (last.n, last.top, last.low) == (10_000_000, 5.0, 1.0)
