@@ -38,11 +38,15 @@ def scoped_lookup(refs: DataFrame, defs: DataFrame, chain: Column, keys: list[st
     ``keys`` identify a reference; ``refs`` has ``deck`` and ``ref``. References
     without a definition are left out (``undefined_refs`` lists them).
     """
-    d = defs.select("deck", F.lower("name").alias("_key"), F.struct(*[c for c in defs.columns if c != "deck"]).alias("definition"))
-    asked = refs.withColumn("_chain", chain).withColumn("_key", F.lower("ref"))
-    met = asked.join(d, ["deck", "_key"]).withColumn("_at", F.array_position("_chain", F.col("definition.scope")))
-    near = met.where(F.col("_at") > 0).groupBy(*keys).agg(F.min_by("definition", "_at").alias("definition"))
-    return near
+    whole = F.struct(*[c for c in defs.columns if c != "deck"]).alias("definition")
+    d = defs.select("deck", F.col("scope").alias("_scope"), F.lower("name").alias("_key"), whole)
+    met = along(refs.withColumn("_key", F.lower("ref")), chain).join(d, ["deck", "_scope", "_key"])
+    return met.groupBy(*keys).agg(F.min_by("definition", "_at").alias("definition"))
+
+
+def along(refs: DataFrame, chain: Column) -> DataFrame:
+    """A row per scope of the short ``chain``: ``_scope`` and its place ``_at``, so that scopes join as keys."""
+    return refs.select("*", F.posexplode(chain).alias("_at", "_scope"))
 
 
 def undefined_refs(refs: DataFrame, defs: DataFrame, on: str = "ref", name: str = "name", within: tuple[str, ...] = ("deck",)) -> DataFrame:
@@ -135,7 +139,7 @@ def expand_hierarchy(cards: DataFrame, defs: DataFrame, max_depth: int = MAX_DEP
         )
     )
     known = defs.select(
-        "deck", F.lower("name").alias("_key"),
+        "deck", F.col("scope").alias("_scope"), F.lower("name").alias("_key"),
         F.struct("scope", "name", "ports", body_scope("scope", "name").alias("body")).alias("d"),
     )
     elements, errors = [], []
@@ -163,9 +167,9 @@ def expand_hierarchy(cards: DataFrame, defs: DataFrame, max_depth: int = MAX_DEP
         if calls.limit(1).count() == 0:
             front = calls.limit(0)
             break
-        met = calls.withColumn("_key", F.lower("ref")).join(known, ["deck", "_key"])
+        asked = calls.select("deck", "name", "line", "chain", F.lower("ref").alias("_key"))
+        met = along(asked, F.col("chain")).join(known, ["deck", "_scope", "_key"])
         # later callers are nearer
-        met = met.withColumn("_at", F.array_position("chain", F.col("d.scope"))).where(F.col("_at") > 0)
         chosen = met.groupBy("deck", "name", "line").agg(F.max_by("d", "_at").alias("d"))
         resolved = cut(calls.join(chosen, ["deck", "name", "line"], "left"))
         # names depend on the callers by nearest occurrence alone, so meeting the

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkwave.functions.scalar import eng_parse
 from sparkwave.operators import lines as L
 from sparkwave.operators.catalog import match_blocks
-from sparkwave.operators.hierarchy import enclosing, expand_hierarchy
+from sparkwave.operators.hierarchy import along, enclosing, expand_hierarchy
 from sparkwave.plans.lineage import cut
 
 # Directives that are read or ignored, and their least token count.
@@ -32,10 +32,20 @@ BEHAVIOURAL = ("value", "table", "laplace", "freq", "poly")
 # Model types each element reads, and parameters that must be numbers.
 MODEL_TYPES = {"d": ("d",), "q": ("npn", "pnp"), "m": ("nmos", "pmos"), "s": ("sw",)}
 RECOGNISED = {
-    "d": "is n rs cjo cj0 vj m tt bv ibv eg xti fc kf af area",
-    "q": "is bf nf vaf va ikf ise ne br nr var vb ikr isc nc rb re rc cje vje mje cjc vjc mjc xcjc tf tr fc eg xti xtb area kf af",
-    "m": "nsub xj ld uo vmax theta eta kappa delta nfs level vto vt0 kp gamma phi lambda rd rs is js cbd cbs pb cgso cgdo "
-         "cgbo cj mj cjsw mjsw fc tox l w ad as pd ps nrd nrs rsh kf af",
+    "d": (
+        "is", "n", "rs", "cjo", "cj0", "vj", "m", "tt", "bv", "ibv", "eg", "xti", "fc", "kf", "af", "area",
+    ),
+    "q": (
+        "is", "bf", "nf", "vaf", "va", "ikf", "ise", "ne", "br", "nr", "var", "vb", "ikr", "isc", "nc", "rb",
+        "re", "rc", "cje", "vje", "mje", "cjc", "vjc", "mjc", "xcjc", "tf", "tr", "fc", "eg", "xti", "xtb",
+        "area", "kf", "af",
+    ),
+    "m": (
+        "nsub", "xj", "ld", "uo", "vmax", "theta", "eta", "kappa", "delta", "nfs", "level", "vto", "vt0",
+        "kp", "gamma", "phi", "lambda", "rd", "rs", "is", "js", "cbd", "cbs", "pb", "cgso", "cgdo", "cgbo",
+        "cj", "mj", "cjsw", "mjsw", "fc", "tox", "l", "w", "ad", "as", "pd", "ps", "nrd", "nrs", "rsh", "kf",
+        "af",
+    ),
 }
 LEVELS = (1.0, 3.0)
 STATISTICAL = r"(?i)^\s*(agauss|gauss|aunif|unif|limit)"
@@ -149,7 +159,7 @@ def check_params(used: DataFrame) -> DataFrame:
     """
     wanted = F.lit(None).cast("array<string>")
     for letter, names in RECOGNISED.items():
-        wanted = F.when(F.col("letter") == letter, F.array(*[F.lit(n) for n in names.split()])).otherwise(wanted)
+        wanted = F.when(F.col("letter") == letter, F.array(*[F.lit(n) for n in names])).otherwise(wanted)
     rows = used.select("deck", "line", "letter", F.explode("params").alias("key", "value"), wanted.alias("_w"))
     rows = rows.where(F.array_contains("_w", F.col("key")) & eng_parse("value").isNull())
     expression = F.rlike("value", F.lit(r"^\s*[{']"))
@@ -207,14 +217,16 @@ def triage(decks: DataFrame, available: DataFrame | None = None) -> DataFrame:
     )
 
     usable = els.where(supported & ~short)
-    flat = expand_hierarchy(usable, definitions(cards))
+    # only decks with instances have anything to expand
+    nested = usable.where(F.lower("letter") == "x").select("deck").distinct()
+    flat = expand_hierarchy(usable.join(nested, "deck", "left_semi"), definitions(cards))
     found.append(_finding(flat.errors, 2, "invalid", F.concat("name", F.lit(": "), F.col("error"))))
     mods = models(cards)
     users = usable.where(F.col("letter").isin(*MODEL_TYPES)).withColumn("ref", F.get("args", F.lit(0)))
     found.append(_finding(users.where(F.col("ref").isNull()), 2, "invalid", F.concat("name", F.lit(": no model named"))))
-    named = users.where(F.col("ref").isNotNull()).withColumn("_key", F.lower("ref")).withColumn("_chain", enclosing("scope"))
-    m = mods.select("deck", F.lower("name").alias("_key"), F.struct("scope", "line", "name", "type", "params").alias("m"))
-    met = named.join(m, ["deck", "_key"]).withColumn("_at", F.array_position("_chain", F.col("m.scope"))).where(F.col("_at") > 0)
+    named = users.where(F.col("ref").isNotNull()).withColumn("_key", F.lower("ref"))
+    m = mods.select("deck", F.col("scope").alias("_scope"), F.lower("name").alias("_key"), F.struct("scope", "line", "name", "type", "params").alias("m"))
+    met = along(named, enclosing("scope")).join(m, ["deck", "_scope", "_key"])
     # of equal names in one scope the later card counts
     chosen = met.groupBy("deck", "line", "letter", "name").agg(F.min_by("m", F.struct("_at", -F.col("m.line"))).alias("m"))
     lost = named.join(chosen.select("deck", "line"), ["deck", "line"], "left_anti")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sparkwave.operators import measure as M
@@ -36,10 +34,16 @@ def arriving(spark, sf, change=None):
 
 
 def _table(spark, df, mode):
-    name = f"drained_{uuid.uuid4().hex}"
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name)
-    W.run_available(writer.option("checkpointLocation", shared_folder(spark, "stream")))
-    return spark.table(name)
+    """The newest state of an aggregate, which each micro-batch writes as a table of its own."""
+    folder = shared_folder(spark, "stream")
+    done = []
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        done.append(number)
+
+    W.run_available(df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/state/batch={max(done)}")
 
 
 @query("str1_str2_drained_stream", PRE + "SELECT run, sig, i, v FROM w")
@@ -52,12 +56,12 @@ def str1(spark, sf):
 
 @query("str3_stream_range", PRE + "SELECT run, sig, min(v) AS lo, max(v) AS hi, count(*) AS n FROM w GROUP BY run, sig")
 def str3(spark, sf):
-    return _table(spark, W.stream_range(stream(spark, sf)), "complete")
+    return _table(spark, W.stream_range(arriving(spark, sf)), "complete")
 
 
 @query("str4_stream_progress", PRE + "SELECT run, round(max(t), 6) AS t, count(*) AS accepted FROM w GROUP BY run")
 def str4(spark, sf):
-    return _table(spark, W.stream_progress(stream(spark, sf)), "complete").select("run", rounded("t"), "accepted")
+    return _table(spark, W.stream_progress(arriving(spark, sf)), "complete").select("run", rounded("t"), "accepted")
 
 
 @query("str5_stream_capture", PRE + "SELECT run, sig, i FROM w WHERE sig IN ('click', 'view')")
