@@ -48,7 +48,7 @@ from sparkwave.operators.graph import components
 from sparkwave.plans.lineage import cut
 
 PERCENT = 80
-CHUNK_SHINGLES = 1 << 21
+CHUNK_SHINGLES = 1 << 20
 BLOCK_SHINGLES = 1 << 20
 PLACE_BITS = 24
 #: Sizes up to which a set may be light.
@@ -122,11 +122,10 @@ def _chunks(docs: DataFrame, block_bits: int, shingle_words: int) -> DataFrame:
         classes = [_name(s) for s in sets]
         small = [s.astype("<u8").tobytes() if len(s) <= MOST_LIGHT else None for s in sets]
         first = [chunk, -1, None, None, [h[3] for h in held], [h[0] for h in held], [h[1] for h in held], [len(s) for s in sets], [c[0] for c in classes], [c[1] for c in classes], small]
-        every = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        key = (every >> np.uint64(64 - PLACE_BITS - block_bits)).astype(np.int64)
-        block = key >> PLACE_BITS
-        order = np.argsort(block, kind="stable")
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        key = (np.concatenate(sets) >> np.uint64(64 - PLACE_BITS - block_bits)).astype(np.int64)
+        block = (key >> PLACE_BITS).astype(np.int32)
+        order = np.argsort(block, kind="stable").astype(np.int32)
         ends = np.searchsorted(block[order], np.arange((1 << block_bits) + 1))
         out = [first]
         for b in range(1 << block_bits):
@@ -140,9 +139,9 @@ def _chunks(docs: DataFrame, block_bits: int, shingle_words: int) -> DataFrame:
         chunk, held, load = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             id_type = batch["id"].type
-            for d1, d2, t, i in zip(*(batch[x].to_pylist() for x in ("d1", "d2", "t", "id")), strict=True):
-                found = shingle_set(t, shingle_words)
-                held.append((d1, d2, found, i))
+            for d1, d2, t, i in zip(*(batch[x] for x in ("d1", "d2", "t", "id")), strict=True):
+                found = shingle_set(t.as_py(), shingle_words)
+                held.append((d1.as_py(), d2.as_py(), found, i.as_py()))
                 load += len(found) + 8
                 if load >= CHUNK_SHINGLES:
                     yield rows(chunk, held, id_type)
