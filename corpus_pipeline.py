@@ -12,7 +12,7 @@ from sparkwave.plans.lineage import cut
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a quality rule go."""
-    return quality_rules.judge(docs, out="_quality").where("_quality.kept").drop("_quality")
+    return quality_rules.keep(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwave.llm.common import NOT_SPACE, SPACE, let, text_of, words_of
+from sparkwave.llm.common import NOT_SPACE, SPACE, free_name, let, text_of, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -130,3 +130,12 @@ def judge(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, out:
     failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
     broken = F.array_compact(F.array(*[F.when(x, F.lit(r.name)) for r, x in zip(rules, compile_rules(rules, c), strict=True)]))
     return full.withColumn(out, c.withField("base_failed", failed).withField("broken", broken).withField("kept", ~failed & (F.size(broken) == 0)))
+
+
+def keep(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``df`` that break no rule, all columns."""
+    out, once = free_name(df, "_quality"), free_name(df, "_once")
+    judged = judge(df, text, rules, out)
+    # a filter would be pushed below the counts and make them twice; a generator stays above
+    passed = F.when(F.col(out)["kept"], F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return judged.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(passed).alias(once)).drop(once)

@@ -51,7 +51,7 @@ def _hashes(word: str) -> bytes:
     return b"".join(zlib.crc32(p.encode("utf-8", "surrogatepass")).to_bytes(4, "little") for p in parts)
 
 
-_cache = Cache(_hashes)
+_cache = Cache(_hashes, limit=100_000)
 
 
 def features(text: str) -> np.ndarray:

@@ -140,6 +140,8 @@ def test_quality_rules(docs, rows, empty):
     assert found == sorted(((i, *brute.quality(t)) for i, t in rows), key=str)
     assert quality_rules.judge(docs, out="score").columns == docs.columns[:6] + ["score"] + docs.columns[7:]
     assert quality_rules.judge(empty).count() == 0
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns and bag(kept, "doc_id") == sorted(((r.doc_id,) for r in judged.collect() if r.quality.kept), key=str)
 
 
 @pytest.mark.parametrize("light", [0, 4, 14, None])
