@@ -12,6 +12,7 @@ from sparkwave.functions.scalar import decibels, phase_degrees
 from sparkwave.operators import measure as M
 from sparkwave.operators import samples as S
 from sparkwave.plans import chunks as C
+from sparkwave.plans.sizing import broadcast_if_small
 
 HALF_POWER_DB = 3.0103
 
@@ -42,10 +43,12 @@ def resample(
     points = windows.select(
         *keys, "t0", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
     ).select(*keys, "k", (F.col("t0") + F.lit(span) * F.col("k") / n).alias("x"))
-    rows, split = S.samples(waves, keys, rows_per_chunk)
-    # only segments that reach the window are sorted against the grid
-    late = rows.join(windows.select(*keys, "t0"), list(keys)).where(F.col("x_next") >= F.col("t0")).drop("t0", C.CHUNK)
-    read = M.read_at(late, points, split, keys)
+    # only samples of the window, and the last instant before it, are sorted
+    placed = waves.join(broadcast_if_small(windows.select(*keys, "t0")), list(keys))
+    before = placed.groupBy(*keys).agg(F.max(F.when(F.col("t") < F.col("t0"), F.col("t"))).alias("_before"))
+    late = placed.join(broadcast_if_small(before), list(keys)).where(F.col("t") >= F.coalesce("_before", "t0")).drop("t0", "_before")
+    rows, split = S.samples(late, keys, rows_per_chunk)
+    read = M.read_at(rows.drop(C.CHUNK), points, split, keys)
     return read.select(*keys, "k", F.col("x").alias("t"), "v")
 
 
