@@ -194,6 +194,13 @@ def search_names(defs: DataFrame, q: str, limit: int = 50, by_length: bool = Tru
     return found.withColumn("rank", rank).orderBy(*order).limit(limit)
 
 
+def search_paths(defs: DataFrame, q: str, limit: int = 50, rows_per_chunk: int | None = None) -> DataFrame:
+    """``(name, rank, place, path)``: the hits of ``search_names`` with their paths, best source first."""
+    hits = F.broadcast(search_names(defs, q, limit))  # at most ``limit`` rows
+    found = defs.select(F.lower("name").alias("name"), "path").join(hits, "name").distinct()
+    return ranked_rows(found, ["name"], [provenance("path"), F.col("path")], "place", rows_per_chunk).select("name", "rank", "place", "path")
+
+
 def search_symbols(symbols: DataFrame, q: str, limit: int = 30) -> DataFrame:
     return search_names(symbols, q, limit, by_length=False)
 

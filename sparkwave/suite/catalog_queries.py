@@ -125,6 +125,16 @@ def top1(spark, sf):
     return C.search_names(defs(spark, sf), " G ", 10)
 
 
+@query(
+    "top1_search_paths",
+    DEFS + """, n AS (SELECT DISTINCT name FROM d WHERE contains(name, 'g')),
+    q AS (SELECT name, CAST(CASE WHEN name = 'g' THEN 0 WHEN starts_with(name, 'g') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM n ORDER BY rank, length(name), name LIMIT 10)
+    SELECT name, q.rank, row_number() OVER (PARTITION BY name ORDER BY class, path) AS place, path FROM q JOIN (SELECT DISTINCT name, path, class FROM d) USING (name)""",
+)
+def top1_paths(spark, sf):
+    return C.search_paths(defs(spark, sf), " G ", 10)
+
+
 @query("top2_search_symbols", SEARCH + "SELECT name, CAST(rank AS INTEGER) AS rank FROM r ORDER BY rank, name LIMIT 12")
 def top2(spark, sf):
     return C.search_symbols(defs(spark, sf), "g", 12)
