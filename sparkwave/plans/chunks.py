@@ -13,6 +13,7 @@ the same key always fall into the same piece.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -23,8 +24,9 @@ from pyspark.sql import types as T
 from sparkwave.plans.sizing import BROADCAST_ROWS
 
 ROWS_PER_CHUNK = 1_000_000
-LEVELS = 3
-_LEVEL_BITS = 20
+#: Cuts of cuts: six times ten bits zoom in as far as the digits of a double go.
+LEVELS = 6
+_LEVEL_BITS = 10
 _MAX_PIECES = 1 << _LEVEL_BITS
 
 CHUNK, FIRST, LAST, HOT = "_chunk", "_first", "_last", "_hot"
@@ -96,7 +98,7 @@ def plan_chunks(
     found = Chunks(tuple(keys))
     wanted = [*keys, x] + ([tie] if tie else [])
     narrow = df.select(*wanted)
-    for depth in range(LEVELS):
+    for depth in range(LEVELS + 1):
         source = found.assign(narrow, x, tie)
         if depth:
             source = source.where(F.col(HOT))
@@ -122,6 +124,9 @@ def plan_chunks(
         hot = stats.limit(BROADCAST_ROWS + 1).collect()
         if not hot:
             break
+        if depth == LEVELS:
+            warnings.warn(f"{len(hot)} piece(s) of over {rows} samples at one place cannot be cut any further", stacklevel=2)
+            break
         if len(hot) <= BROADCAST_ROWS:
             # a literal table of counted size
             stats = F.broadcast(spark.createDataFrame(hot, stats.schema))
