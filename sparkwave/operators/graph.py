@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwave.plans.lineage import cut
+from sparkwave.plans.lineage import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,13 +14,15 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two steps: every node hands its larger neighbours to the least one
     it sees, then does the same with its smaller neighbours. The edges shrink to
     stars in a number of rounds that grows with the logarithm of the longest
-    path. No step collects a neighbourhood; hubs are joined, not gathered.
+    path. No step collects a neighbourhood; hubs are joined, not gathered. A
+    round's table is deleted when the next one stands.
     """
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     loops = pairs.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"))
     e = cut(pairs.where(F.col("u") != F.col("v")).distinct())
     while True:
-        e = cut(_to_smaller(_to_larger(e)))
+        before, e = e, cut(_to_smaller(_to_larger(e)))
+        discard(before)
         if _is_stars(e):
             break
     found = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -226,7 +226,8 @@ def include_graph(edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> tu
         if depth > max_depth:
             errors.append(fresh.select("root", "path", F.lit("include nesting too deep").alias("error")))
             break
-        seen = cut(seen.unionByName(fresh))
+        # rounds stay tables of their own; none is written twice
+        seen = seen.unionByName(fresh)
         front = fresh
     # a file that reaches itself is circular for every root that reaches it
     looped = _files_on_cycles(edges, max_depth)

@@ -42,4 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     """
     where = shared_folder(df.sparkSession, "table")
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    out = df.sparkSession.read.schema(df.schema).parquet(where)
+    out._written_to = where
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote for ``df``; nothing that is still to run may read it."""
+    where = getattr(df, "_written_to", None)
+    if where is not None:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -200,6 +200,22 @@ def cat16(spark, sf):
     return H.include_graph(T.include_edges(files), roots)[0]
 
 
+@query(
+    "cat16_include_errors",
+    """SELECT CAST(p_partkey AS VARCHAR) AS root, CAST(p_partkey - k AS VARCHAR) AS path, 'circular include' AS error
+    FROM part, range(0, 10) r(k) WHERE p_partkey % 10 = 9 AND p_partkey // 10 % 3 = 1""",
+)
+def cat16_errors(spark, sf):
+    """In every third chain the first part includes the last one again."""
+    p = table(spark, sf, "part")
+    again = (F.col("p_partkey") % 10 == 0) & (F.floor(F.col("p_partkey") / 10) % 3 == 1)
+    target = F.when(again, F.col("p_partkey") + 9).otherwise(F.col("p_partkey") - 1).cast("string")
+    text = F.concat(F.lit("title\n.include '"), target, F.lit("'\n.end"))
+    files = p.where((F.col("p_partkey") % 10 > 0) | again).select(F.col("p_partkey").cast("string").alias("deck"), text.alias("text"))
+    roots = p.where(F.col("p_partkey") % 10 == 9).select(F.col("p_partkey").cast("string").alias("path"))
+    return H.include_graph(T.include_edges(files), roots)[1]
+
+
 # ------------------------------------------------------------------ verdict tables
 
 

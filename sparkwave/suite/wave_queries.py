@@ -55,6 +55,14 @@ def src3(spark, sf):
     return waves(spark, sf).select("run", "sig", "i", rounded("t"), "v")
 
 
+@query(
+    "src1_wide_from_waves",
+    PRE2 + """SELECT run, i, round(t, 6) AS t, "out", ref FROM ww""",
+)
+def src1_back(spark, sf):
+    return W.wide_from_waves(two_signals(spark, sf), ["out", "ref"]).select("run", "i", rounded("t"), "out", "ref")
+
+
 @query(
     "src1_waves_from_wide",
     PRE2 + """SELECT run, i, round(t, 6) AS t, 'out' AS sig, "out" AS v FROM ww
@@ -398,6 +406,16 @@ def agg21(spark, sf):
     return compare.worst_error(_diff(spark, sf)).select("run", "sig", "n", "failed", rounded("worst"))
 
 
+@query(
+    "join7_diff_runs_unit",
+    DIFFED + "SELECT run, sig, i, round(va, 6) AS a, abs(va - vb) <= 0.0045 * greatest(abs(vb), 1.0) AS ok FROM q",
+)
+def join7_unit(spark, sf):
+    w = waves(spark, sf)
+    b = w.withColumn("t", F.col("t") + 5).withColumn("v", F.col("v") * (1 + (F.col("i") % 7) * 0.001))
+    return compare.diff_runs(w, b, rtol=0.0045, floor=1.0, relative_to="unit").select("run", "sig", "i", rounded("a"), "ok")
+
+
 # every 97th sample of ours is no number
 GAPS = "CASE WHEN {i} % 97 = 0 THEN NULL ELSE {v} END"
 
