@@ -48,7 +48,7 @@ from sparkwave.operators.graph import components
 from sparkwave.plans.lineage import cut
 
 PERCENT = 80
-CHUNK_SHINGLES = 1 << 20
+CHUNK_SHINGLES = 1 << 19
 BLOCK_SHINGLES = 1 << 20
 PLACE_BITS = 24
 #: Sizes up to which a set may be light.

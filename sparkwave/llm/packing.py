@@ -20,7 +20,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +47,19 @@ class TokenIds:
     LONG = 4096
 
     def __init__(self, path: str):
+        self.path = path
+        self.fast = _as_ranks(path)
+        self.long = re.compile(f"[^{WHITE}]{{{self.LONG}}}|[{WHITE}]{{{self.LONG}}}")
+
+    @cached_property
+    def library(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.fast = _as_ranks(path)
-        self.long = re.compile(f"[^{WHITE}]{{{self.LONG}}}|[{WHITE}]{{{self.LONG}}}")
+        library = Tokenizer.from_file(self.path)
+        library.no_padding()
+        library.no_truncation()
+        return library
 
     def encode(self, text: str, end: int | None = None) -> np.ndarray:
         if self.fast is None or self.long.search(text):

@@ -46,7 +46,7 @@ def _hashes(word: str) -> int:
     return zlib.crc32(raw) << 32 | zlib.crc32(shape(word).encode("utf-8", "surrogatepass"))
 
 
-_cache = Cache(_hashes, limit=100_000)
+_cache = Cache(_hashes, limit=30_000)
 
 
 def slots(text: str) -> np.ndarray:

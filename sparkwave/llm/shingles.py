@@ -12,7 +12,7 @@ WORDS = 5
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
-_cache = Cache(lambda w: int.from_bytes(blake2b(w, digest_size=8).digest(), "little"), limit=100_000)
+_cache = Cache(lambda w: int.from_bytes(blake2b(w, digest_size=8).digest(), "little"), limit=30_000)
 
 
 def shingle_set(text: str, n: int = WORDS) -> np.ndarray:

@@ -34,7 +34,7 @@ from sparkwave.llm.common import map_batches
 from sparkwave.llm.linear import Ftrl, labelled_sample, sigmoid
 from sparkwave.llm.segments import Cache
 
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 GRADES = 4
 EPOCHS = 12
 #: Features of fewer sample rows than this are not learned.
@@ -51,7 +51,7 @@ def _hashes(word: str) -> bytes:
     return b"".join(zlib.crc32(p.encode("utf-8", "surrogatepass")).to_bytes(4, "little") for p in parts)
 
 
-_cache = Cache(_hashes, limit=100_000)
+_cache = Cache(_hashes, limit=30_000)
 
 
 def features(text: str) -> np.ndarray:
@@ -122,13 +122,15 @@ def learn(listed: list[np.ndarray], y: np.ndarray, grades: int = GRADES) -> Mode
     y = np.clip(y, 0, grades - 1)
     if not len(y) or not y.any():
         return Model(np.empty(0, np.uint32), np.empty(0), np.full(grades - 1, np.inf))
-    words, times = np.unique(np.concatenate(listed), return_counts=True)
-    words = words[times >= MIN_ROWS]
+    every = np.sort(np.concatenate(listed))
+    starts = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+    words = every[starts[np.diff(starts, append=len(every)) >= MIN_ROWS]]
+    del every, starts
     rows = []
     for found in listed:
         at = np.searchsorted(words, found)
         at[at == len(words)] = 0
-        rows.append(at[words[at] == found] if len(words) else at[:0])
+        rows.append((at[words[at] == found] if len(words) else at[:0]).astype(np.int32))
     if y.max() == 1 and grades > 2:
         first, _ = _descend(rows, y, len(words), 1)
         marker = first >= max(MARKER_SHARE * first.max(initial=0.0), 1e-9)
