@@ -7,12 +7,14 @@ rule decides are the labelled ones: trees learn from them and judge all others.
 Features are built by SQL functions: lengths, depth, digit ratio, entropy, parameter
 counts, and for the host's suffix its smoothed share of blocked labels and its
 frequency. Trees are ``pyspark.ml`` gradient-boosted trees over a bounded sample;
-suffix statistics are kept for the ``SUFFIXES`` most frequent suffixes, others get
-the overall share. Judging needs no shuffle and no Python.
+suffix statistics are one table over all rows, the frequency over every row and the
+share over every row that a rule decides. A suffix without such rows gets the overall
+share. Judging needs no Python, and no shuffle as long as that table is small enough
+to be copied.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and
 fits no rule. If the labelled URLs are all of one verdict it is the method's verdict
-too; without labelled URLs it is "allow". Repeated rows are judged one by one and
+too (those of the sample count); without labelled URLs it is "allow". Repeated rows are judged one by one and
 other columns stay.
 """
 
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import chain
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from sparkwave.llm.common import free_name, let
 from sparkwave.plans.lineage import cut
+from sparkwave.plans.sizing import broadcast_if_small
 
 MAX_LABELLED = 20_000
-SUFFIXES = 1000
 TREES = 12
 DEPTH = 4
 SMOOTHING = 20.0
@@ -124,18 +125,24 @@ def lexical(url: Column, host: Column, path: Column) -> list[Column]:
     ]
 
 
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(host, r"([^.]*)$", 1)
+
+
 @dataclass
 class Model:
+    """Trees, or one verdict for all; ``suffix`` has a row ``(suffix, f_suffix_share, f_suffix_count)`` per suffix met."""
+
     trees: GBTClassificationModel | None
     constant: str
-    suffix: dict[str, tuple[float, float]]
+    suffix: DataFrame
     share: float
 
-    def features(self, url: Column, host: Column, path: Column) -> list[Column]:
-        known = F.create_map(*chain.from_iterable((F.lit(s), F.array(F.lit(a), F.lit(b))) for s, (a, b) in self.suffix.items())) if self.suffix else None
-        found = F.lit(None) if known is None else F.element_at(known, F.regexp_extract(host, r"([^.]*)$", 1))
-        found = F.coalesce(found, F.array(F.lit(self.share), F.lit(0.0)))
-        return [*lexical(url, host, path), F.get(found, 0).alias("f_suffix_share"), F.get(found, 1).alias("f_suffix_count")]
+    def features(self, df: DataFrame, url: Column, host: Column, path: Column) -> DataFrame:
+        """``df`` with the columns ``FEATURES``."""
+        known = df.select("*", *lexical(url, host, path), suffix_of(host).alias("f_suffix")).join(self.suffix, F.col("f_suffix") == F.col("suffix"), "left")
+        unmet = {"f_suffix_share": self.share, "f_suffix_count": 0.0}
+        return known.drop("f_suffix", "suffix").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in unmet.items()})
 
 
 def _assemble(df: DataFrame) -> DataFrame:
@@ -143,21 +150,25 @@ def _assemble(df: DataFrame) -> DataFrame:
 
 
 def fit(df: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES, most: int = MAX_LABELLED) -> Model:
-    """Learn from the distinct URLs that a rule decides; at most ``most`` of them, those with the smallest hash."""
+    """Learn from the distinct URLs that a rule decides; at most ``most`` of them, those with the smallest hash.
+
+    Suffixes are counted over all rows.
+    """
     host, path = host_and_path(F.col(url))
     verdicts = F.array(*[F.lit(float(r.verdict == "block")) for r in rules])
-    labelled = df.select(F.col(url).alias("u"), host.alias("host"), path.alias("path"))
-    labelled = labelled.select("*", F.get(verdicts, match(F.col("host"), F.col("path"), rules)).alias("label")).where("label is not null")
-    sample = cut(labelled.dropDuplicates(["u"]).orderBy(F.xxhash64("u"), "u").limit(most))
-    suffix = F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix")
-    counted = sample.groupBy(suffix).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")).first()
-    share = total["blocked"] / total["n"] if total["n"] else 0.0
-    kept = counted.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    stats = {r["suffix"]: ((r["blocked"] + SMOOTHING * share) / (r["n"] + SMOOTHING), r["n"] / total["n"]) for r in kept}
-    model = Model(None, "block" if share == 1.0 else "allow", stats, share)
-    if 0.0 < share < 1.0:
-        rows = sample.select("label", *model.features(F.col("u"), F.col("host"), F.col("path")))
+    every = df.select(F.col(url).alias("u"), host.alias("host"), path.alias("path"))
+    every = every.select("*", F.get(verdicts, match(F.col("host"), F.col("path"), rules)).alias("label"))
+    blocked = F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")
+    counted = cut(every.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), blocked))
+    total = counted.agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
+    share = total["blocked"] / total["labelled"] if total["labelled"] else 0.0
+    smoothed = (F.col("blocked") + F.lit(SMOOTHING * share)) / (F.col("labelled") + F.lit(SMOOTHING))
+    stats = counted.select("suffix", smoothed.alias("f_suffix_share"), (F.col("n") / F.lit(total["n"] or 1)).alias("f_suffix_count"))
+    sample = cut(every.where("label is not null").dropDuplicates(["u"]).orderBy(F.xxhash64("u"), "u").limit(most))
+    met = sample.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+    model = Model(None, "block" if met["low"] == 1.0 else "allow", broadcast_if_small(stats), share)
+    if met["low"] != met["high"]:
+        rows = model.features(sample, F.col("u"), F.col("host"), F.col("path"))
         learner = GBTClassifier(featuresCol="f_all", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7)
         model.trees = learner.fit(_assemble(rows).select("label", "f_all").coalesce(4))
     return model
@@ -174,7 +185,7 @@ def judge(df: DataFrame, model: Model, url: str = "url", rules: Sequence[Rule] =
     if model.trees is None:
         inner = inner.withColumn("f_score", F.lit(float(model.constant == "block")))
     else:
-        scored = model.trees.transform(_assemble(inner.select("*", *model.features(u, F.col("f_host"), F.col("f_path")))))
+        scored = model.trees.transform(_assemble(model.features(inner, u, F.col("f_host"), F.col("f_path"))))
         inner = scored.withColumn("f_score", _second(scored))
     names = F.array(*[F.lit(r.text) for r in rules])
     verdicts = F.array(*[F.lit(r.verdict) for r in rules])

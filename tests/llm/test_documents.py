@@ -219,6 +219,28 @@ def test_urls(spark):
     assert {r["filter"].verdict for r in url_filter.judge(df, url_filter.fit(only)).collect() if r["filter"].rule is None} == {"allow"}
 
 
+@pytest.mark.parametrize("copied", [True, False])
+def test_url_suffixes_cover_all_rows(spark, monkeypatch, copied):
+    """More suffixes than fit any cap, most of them never named by a rule, and a fit on far fewer rows."""
+    if not copied:
+        monkeypatch.setattr(url_filter, "broadcast_if_small", lambda df: df)
+    urls = [f"http://a{k}.com/{'de' if k % 3 else 'fr'}/{k}" for k in range(60)] + [f"http://b.org/{k % 4}" for k in range(40)]
+    urls += [f"http://c{k}.net/en/{k}" for k in range(300)] + [f"http://d.s{k}/" for k in range(1200)] + [None]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    model = url_filter.fit(df, most=50)
+    share, n = 40 / 100, len(urls)
+    known = {"com": ((40 + 20 * share) / (60 + 20), 60 / n), "org": (20 * share / (40 + 20), 40 / n), "net": (share, 300 / n), "": (share, 1 / n)}
+    known |= {f"s{k}": (share, 1 / n) for k in range(1200)}
+    found = {r.suffix: (r.f_suffix_share, r.f_suffix_count) for r in model.suffix.collect()}
+    assert found.keys() == known.keys() and all(found[s] == pytest.approx(known[s]) for s in known)
+    asked = spark.createDataFrame([("http://x.net/",), ("http://x.never/",)], "u string")
+    host, path = url_filter.host_and_path(asked["u"])
+    rows = model.features(asked, asked["u"], host, path).collect()
+    assert sorted((r.f_suffix_share, r.f_suffix_count) for r in rows) == [pytest.approx((share, 0.0)), pytest.approx(known["net"])]
+    judged = url_filter.judge(df, model).collect()
+    assert sorted(r.page_id for r in judged) == list(range(n))
+
+
 def test_entropy(spark):
     from pyspark.sql import functions as F
 
