@@ -38,10 +38,11 @@ def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
 def labelled_sample(df: DataFrame, labels: DataFrame, id: str, text: str, label: str, most: int = MAX_LABELLED) -> DataFrame:
     """At most ``most`` rows ``(id, text, label)``; labels or ids that are null teach nothing, repeated ids teach once.
 
-    The sample of ids is bounded, so it is copied to the tasks and ``df`` is only filtered by it.
+    Labels of ids that ``df`` does not have take no place in the sample. The sample of ids is bounded, so it is copied to the tasks and ``df`` is only filtered by it.
     """
     known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).dropna()
     known = known.groupBy("id").agg(F.max("label").alias("label"))
+    known = known.join(df.select(F.col(id).alias("id")).dropna().distinct(), "id", "left_semi")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
     docs = df.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return docs.join(F.broadcast(chosen), "id").dropDuplicates(["id"])

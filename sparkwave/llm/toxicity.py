@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 from sparkwave.llm.common import map_batches
 from sparkwave.llm.linear import Ftrl, labelled_sample, sigmoid
 from sparkwave.llm.segments import Cache
+from sparkwave.plans.lineage import cut
 
-MAX_LABELLED = 10_000
+MAX_LABELLED = 20_000
 GRADES = 4
 EPOCHS = 12
 #: Features of fewer sample rows than this are not learned.
@@ -103,34 +104,44 @@ def _descend(rows: list[np.ndarray], grades: np.ndarray, size: int, top: int) ->
 
 
 def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", grades: int = GRADES, most: int = MAX_LABELLED) -> Model:
-    """Learn from at most ``most`` labelled rows. A label above 1 is taken as the grade itself."""
+    """Learn from at most ``most`` labelled rows. A label above 1 is taken as the grade itself.
+
+    Rows of a feature are counted in Spark; the driver gets those of the learned ones only, as places in their list.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()).astype("<u4").tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array(found, pa.binary())], ["id", "label", "words"])
+            found = [features(t.as_py()).view("<i4") for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array(found, pa.list_(pa.int32()))], ["id", "label", "words"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [_places(shared.value, x.values.to_numpy().view("<u4")).tobytes() for x in batch["words"]]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array(places, pa.binary())], ["id", "label", "places"])
 
     sample = labelled_sample(df, labels, id, text, label, most).select("id", "label", "text")
     kind = sample.schema["id"].dataType.simpleString()
-    found = map_batches(sample, run, f"id {kind}, label int, words binary").orderBy(F.xxhash64("id"), "id").select("label", "words").toArrow()
-    listed = [np.frombuffer(x.as_buffer(), "<u4") for x in found["words"]]
-    return learn(listed, np.array(found["label"].to_pylist(), int), grades)
+    found = cut(map_batches(sample, run, f"id {kind}, label int, words array<int>"))
+    often = found.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= MIN_ROWS).select("word").toArrow()
+    words = np.sort(often["word"].to_numpy().astype("<i4").view("<u4"))
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    placed = map_batches(found, place, f"id {kind}, label int, places binary").orderBy(F.xxhash64("id"), "id").select("label", "places").toArrow()
+    rows = [np.frombuffer(x.as_buffer(), "<i4") for x in placed["places"]]
+    return learn(words, rows, np.array(placed["label"].to_pylist(), int), grades)
+
+
+def _places(words: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where those of ``found`` that are in ``words`` stand there; both are in ascending order."""
+    at = np.searchsorted(words, found)
+    at[at == len(words)] = 0
+    return (at[words[at] == found] if len(words) else at[:0]).astype("<i4")
 
 
-def learn(listed: list[np.ndarray], y: np.ndarray, grades: int = GRADES) -> Model:
-    """Fit on the feature hashes and grades (or 0/1 labels) of texts."""
+def learn(words: np.ndarray, rows: list[np.ndarray], y: np.ndarray, grades: int = GRADES) -> Model:
+    """Fit on the features of texts, given by their places in ``words``, and the grades (or 0/1 labels) of the texts."""
     y = np.clip(y, 0, grades - 1)
     if not len(y) or not y.any():
         return Model(np.empty(0, np.uint32), np.empty(0), np.full(grades - 1, np.inf))
-    every = np.sort(np.concatenate(listed))
-    starts = np.flatnonzero(np.diff(every, prepend=~every[:1]))
-    words = every[starts[np.diff(starts, append=len(every)) >= MIN_ROWS]]
-    del every, starts
-    rows = []
-    for found in listed:
-        at = np.searchsorted(words, found)
-        at[at == len(words)] = 0
-        rows.append((at[words[at] == found] if len(words) else at[:0]).astype(np.int32))
     if y.max() == 1 and grades > 2:
         first, _ = _descend(rows, y, len(words), 1)
         marker = first >= max(MARKER_SHARE * first.max(initial=0.0), 1e-9)

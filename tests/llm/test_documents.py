@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from sparkwave.llm import exact_dedup, jaccard_join, line_dedup, packing, piece_bpe, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from sparkwave.llm import exact_dedup, jaccard_join, line_dedup, linear, packing, piece_bpe, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -186,6 +186,27 @@ def test_toxicity(spark, docs, empty):
     assert {(r.severity, r.rejected) for r in toxicity.grade(docs, nothing).select("toxicity.*").collect()} == {(0.0, False)}
 
 
+def test_labels_of_other_ids_take_no_place(spark):
+    df = spark.createDataFrame([(k, f"text {k}") for k in range(30)] + [(3, "again"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1000)] + [(None, 1)], "doc_id long, toxic int")
+    found = linear.labelled_sample(df, labels, "doc_id", "text", "toxic", 20).collect()
+    assert len(found) == len({r.id for r in found}) == 20 and all(r.id < 30 and r.label == r.id % 2 for r in found)
+    assert {r.id for r in linear.labelled_sample(df, labels, "doc_id", "text", "toxic", 100).collect()} == set(range(30))
+
+
+def test_toxicity_learns_features_of_enough_rows(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity, "learn", lambda words, rows, y, grades: given.append((words, rows, y)))
+    texts = {k: f"plain number{'abcdefghij'[k % 10] * 3} only{'xyz'[k % 3] * (k // 3 + 1)} {'scum' if k % 2 else ''}" for k in range(24)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    toxicity.fit(df, spark.createDataFrame([(k, k % 2) for k in texts], "doc_id long, toxic int"))
+    words, rows, y = given[0]
+    times = Counter(int(w) for t in texts.values() for w in toxicity.features(t))
+    assert words.tolist() == sorted(w for w, n in times.items() if n >= toxicity.MIN_ROWS) and len(words) < len(times)
+    kept = sorted((int(k % 2), [int(w) for w in toxicity.features(t) if times[int(w)] >= toxicity.MIN_ROWS]) for k, t in texts.items())
+    assert sorted((int(g), words[at].tolist()) for g, at in zip(y, rows, strict=True)) == kept
+
+
 def test_quality_classifier(spark, docs, rows, empty):
     tables = "/root/testdata/sf0.1"
     df, labels = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")
