@@ -374,7 +374,10 @@ def _pick_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle_
 def _join(
     df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle_words: int = WORDS, light: int | None = None
 ) -> DataFrame:
-    """One row per row of ``df``: ``d1`` and ``d2`` (the document's name), ``id``, ``n`` and ``component_id``."""
+    """One row per row of ``df``: ``d1`` and ``d2`` (the document's name), ``id``, ``n``, ``component_id``, and ``g1``, ``g2`` and ``g3``.
+
+    The last three name the component itself: two components have the same ``component_id`` where one id stands at several texts.
+    """
     t = text_of(text)
     docs = df.select(F.col(id).alias("id"), t.alias("t")).select("*", F.xxhash64("id", "t").alias("d1"), F.xxhash64(F.lit(1), "id", "t").alias("d2"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
@@ -422,9 +425,16 @@ def _join(
     grouped = classes.where("n > 0").select("c", "c2", "n", "least", "times").join(roots.withColumnRenamed("node", "c"), "c", "left")
     grouped = grouped.where("times > 1 or root is not null")
     whole = grouped.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
-    known = grouped.join(whole, "root", "left").select("c", "c2", "n", F.coalesce("whole", "least").alias("component_id"))
+    known = grouped.join(whole, "root", "left").select("c", "c2", "n", F.coalesce("whole", "least").alias("component_id"), "root")
     out = named.drop("small").join(cut(known), ["c", "c2", "n"], "left")
-    return out.select("d1", "d2", "id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    # linked classes go by their root, others by the class, and texts without shingles by the document
+    linked, classed = F.col("root").isNotNull(), F.col("n") > 0
+    group = [
+        F.when(linked, F.col("root")).when(classed, F.col("c")).otherwise(F.col("d1")).alias("g1"),
+        F.when(linked, F.lit(0)).when(classed, F.col("c2")).otherwise(F.col("d2")).alias("g2"),
+        F.when(linked, F.lit(-1)).otherwise(F.col("n")).cast("long").alias("g3"),
+    ]
+    return out.select("d1", "d2", "id", "n", F.coalesce("component_id", "id").alias("component_id"), *group)
 
 
 def join(
@@ -444,7 +454,7 @@ def drop_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", perc
     Documents without an id stay where their whole component has none. Rows that agree in id and text are one document.
     """
     found = _join(df, id, text, percent, shingle_words)
-    stay = found.where(F.col("id") == F.col("component_id")).dropDuplicates(["component_id"])
+    stay = found.where(F.col("id") == F.col("component_id")).dropDuplicates(["g1", "g2", "g3"])
     unknown = found.where(F.col("component_id").isNull())
     stay = stay.unionByName(unknown).select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"))
     t = text_of(text)

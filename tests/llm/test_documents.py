@@ -169,6 +169,14 @@ def test_near_copies_in_long_lists(spark, monkeypatch):
     assert bag(jaccard_join.join(df), "doc_id", "n_shingles", "component_id") == sorted(brute.near_components(rows), key=str)
 
 
+def test_one_id_on_unlinked_texts(spark):
+    """Each of them is the least of a group of its own."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in ("tale", "song", "poem"))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (1, c), (1, c), (4, c), (5, ""), (5, "one two"), (5, "one two")]
+    kept = jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert bag(kept, "doc_id", "text") == sorted([(1, a), (1, b), (1, c), (5, ""), (5, "one two")], key=str)
+
+
 def test_toxicity(spark, docs, empty):
     bad = ["idiot", "moron", "scum"]
     rows = [(k, f"some plain words number{k} here" + "".join(f" {b}!" for b in bad[: k % 4])) for k in range(800)]
