@@ -62,10 +62,11 @@ def test_every_code_point(library):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=[*"abthe ing\n\t's'll1,é漢😀 \x85", "<|endoftext|>", "ing", "  ", "aaaa"], max_size=90), min_size=1, max_size=4))
-def test_random_texts(texts):
+@given(st.lists(st.lists(st.sampled_from([*"abthe ing\n\t's'll1,é漢😀 \x85", "<|endoftext|>", "ing", "  ", "aaaa"]), max_size=90), min_size=1, max_size=4))
+def test_random_texts(parts):
     from tokenizers import Tokenizer
 
+    texts = list(map("".join, parts))
     e, library = byte_bpe.encoder(PATH, 0), Tokenizer.from_file(PATH)
     assert ids_of(e, texts) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
