@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwave.llm import byte_bpe, exact_dedup, jaccard_join, line_dedup, packing, piece_bpe, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from sparkwave.llm import (
+    byte_bpe,
+    exact_dedup,
+    jaccard_join,
+    line_dedup,
+    packing,
+    periodic_runs,
+    piece_bpe,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+    toxicity,
+    url_filter,
+)
+from sparkwave.llm.common import let, text_of, words_of
 from sparkwave.suite.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +187,69 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_tail(id: str = "doc_id", text: str = "text"):
+    """The words of a text; in one document of ten (by the id's checksum) the words from some place on repeat with some period."""
+    code = F.coalesce(F.crc32(F.col(id).cast("string")), F.lit(1))
+
+    def tail(words):
+        n, g = F.size(words), F.floor(code / 10)
+        from_ = (g % n).cast("int")
+        period = (1 + F.floor((n - from_) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, from_ + 1, period), F.ceil((n - from_) / period).cast("int")))
+        return F.concat(F.slice(words, F.lit(1), from_), F.slice(again, F.lit(1), n - from_))
+
+    return let(words_of(text_of(text)), lambda w: F.when((code % 10 == 0) & (F.size(w) > 0), tail(w)).otherwise(w))
+
+
+@query(
+    "op13_periodic_runs",
+    r"""
+    WITH steps AS (
+      SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS step
+      FROM range(256) r(b)),
+    d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, doc_id::VARCHAR AS name FROM documents),
+    h AS (SELECT doc_id, w, len(w) AS n,
+                 xor(4294967295, list_reduce(list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::BIGINT),
+                                             lambda c, x: xor(c >> 8, step[1 + (xor(c, x) & 255)]), 4294967295)) AS h
+          FROM d, steps),
+    a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+    p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+    e AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+                   list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS w FROM p),
+    g AS (SELECT doc_id, n, i, hash(w[i + 1:i + 16]) AS gram FROM (SELECT *, unnest(range(n - 15)) AS i FROM e WHERE n >= 24)),
+    m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+    s AS (SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 16 + q AS length
+          FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM m) GROUP BY doc_id, q, part),
+    r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+    b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+                 first(struct_pack(start, length, period) ORDER BY length::DOUBLE / period DESC, start, period) AS best
+          FROM r GROUP BY doc_id),
+    k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept
+          FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM e) x
+          WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.period AND x.i < r.start + r.length)
+          GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+           1000 * best.length // best.period AS exponent_milli,
+           sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
+)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.with_runs(table(spark, sf_dir, "documents"), words=repeated_tail())
+    # lengths and periods are below 2^26, so that equal quotients are equal doubles and others differ
+    by_size = F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")))
+    best = F.get(F.array_sort(by_size), F.lit(0))
+    listed = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
