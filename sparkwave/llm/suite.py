@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwave.llm import (
+    ball_search,
     byte_bpe,
     exact_dedup,
     jaccard_join,
@@ -187,6 +188,28 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op12_ball_search",
+    r"""
+    WITH d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM documents),
+    t AS (SELECT doc_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS tf FROM d GROUP BY ALL),
+    q AS (SELECT DISTINCT item_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+          FROM (SELECT item_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM benchmark)),
+    n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY doc_id),
+    c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+    m AS (SELECT doc_id, 50 + (50 * n * n_docs) // n_terms AS m FROM n, c),
+    w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, n_docs),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+          FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    WHERE rank <= 50
+    """,
+)
+def op12_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def repeated_tail(id: str = "doc_id", text: str = "text"):
     """The words of a text; in one document of ten (by the id's checksum) the words from some place on repeat with some period."""
     code = F.coalesce(F.crc32(F.col(id).cast("string")), F.lit(1))
