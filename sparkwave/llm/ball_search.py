@@ -7,9 +7,11 @@ integers, and a searched item the set of its terms, so that a score is an inner
   has. Sums over these rows give the number of documents, all terms and the documents of
   each term, from which weights follow.
 * **Trees.** Every task packs its vectors into ball trees of bounded size: a node knows the
-  centroid of its documents and the radius of the ball around it that holds them.
+  centroid of its documents, the radius of the ball around it that holds them, and how far
+  they rise above it along each term.
 * **Search.** No document in a ball scores more than the item's product with the centroid
-  plus the item's length times the radius (rounded up, so that it stays a bound). Each
+  plus the item's length times the radius, nor more than the sum of its terms' centroids
+  and rises (rounded up, so that both stay bounds); the smaller bound counts. Each
   item visits the nodes with the best bound first and stops when the next bound is below
   its k-th score; leaves are scored exactly, in integers.
 * **Start.** The k-th score among the documents whose id's hash is divisible by
@@ -46,7 +48,7 @@ from sparkwave.plans.lineage import cut, discard
 #: Fixed value: what terms consist of.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BEST = 50
-BLOCK_TERMS = 20_000
+BLOCK_TERMS = 16_384
 #: Documents and entries of a tree, and documents of a leaf.
 TREE_DOCS, TREE_ENTRIES, LEAF = 8192, 2_000_000, 64
 START_ONE_IN = 32
@@ -90,7 +92,7 @@ class Tree:
         rows = len(start) - 1
         # rows without an entry would upset reduceat; there are none
         self.square = np.add.reduceat(self.real * self.real, start[:-1]) if rows else np.zeros(0)
-        self.centroid, self.radius, self.children, self.docs = [], [], [], []
+        self.centroid, self.radius, self.top, self.children, self.docs = [], [], [], [], []
         self._grow(np.arange(rows))
 
     def _entries(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +115,9 @@ class Tree:
         away = self._distances(docs, at, begin, centre)
         self.centroid.append(centre)
         self.radius.append(math.sqrt(float(away.max())) * (1 + 2.0**-50))
+        top = np.zeros(self.dims, np.int64)
+        np.maximum.at(top, self.term[at], self.value[at])
+        self.top.append(top)
         self.children.append(())
         self.docs.append(docs)
         if len(docs) > LEAF:
@@ -136,10 +141,11 @@ class Tree:
         """For every node, a number that no document in it exceeds."""
         inner = self._centroids[:, terms].sum(axis=1)
         most = (inner + math.sqrt(len(terms)) * self._radii) * (1 + (len(terms) + 16) * 2.0**-52)
-        return np.floor(most) + 1
+        return np.minimum(np.floor(most) + 1, self._tops[:, terms].sum(axis=1))
 
     def finish(self) -> Tree:
-        self._centroids, self._radii = np.array(self.centroid), np.array(self.radius)
+        self._centroids, self._radii, self._tops = np.array(self.centroid), np.array(self.radius), np.array(self.top)
+        self.centroid, self.top = [], []
         self.leaves = {k: self._entries(np.asarray(d)) for k, d in enumerate(self.docs) if not self.children[k]}
         return self
 
