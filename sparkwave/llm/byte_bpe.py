@@ -37,11 +37,11 @@ from sparkwave.llm.bpe_transducer import Vocabulary
 from sparkwave.llm.common import map_batches, text_of
 from sparkwave.llm.segments import PRE_TOKEN, Cache, between, segments
 
-REMEMBER = 200_000
+REMEMBER = 400_000
 #: Pairs of tokens whose fit is remembered.
 PAIRS = 1_000_000
 #: Bytes of a word that goes through the automaton together with others, and how many go together.
-SHORT, TOGETHER = 48, 8192
+SHORT, TOGETHER = 48, 2048
 #: Characters of the texts that are encoded together.
 CHARS = 2_000_000
 
@@ -153,7 +153,7 @@ class PrefixEncoder:
             at -= length.item(last[at])
         return out[::-1]
 
-    def _together(self, words: list[bytes]) -> list[list[int]]:
+    def _together(self, words: list[bytes]) -> Iterator[bytes]:
         """Short words, longest first: the last tokens of all prefixes of one length at a time."""
         e, length, none, known = self.endings, self.length, self.none, self.pairs.get
         size = np.array([len(w) for w in words])
@@ -176,26 +176,24 @@ class PrefixEncoder:
             last[row[fits], end] = token[fits]
         # back from the ends, all words at once
         columns, at, row = [], size.copy(), np.arange(len(words))
-        while at[0] or at.any():
-            token = last[row, at]
-            token[at == 0] = -1
+        while at.any():
+            token = np.where(at > 0, last[row, at], -1)
             columns.append(token)
             at = at - np.where(at > 0, length[token], 0)
-        back = np.stack(columns[::-1], axis=1).tolist()
-        return [[t for t in ids if t >= 0] for ids in back]
+        back = np.stack(columns[::-1], axis=1)
+        found = back >= 0
+        ids, ends = back[found].astype("<i4").tobytes(), (4 * np.cumsum(found.sum(axis=1))).tolist()
+        return map(lambda begin, end: ids[begin:end], [0, *ends], ends)
 
-    def words(self, words: list[bytes]) -> list[list[int]]:
+    def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of every word."""
-        out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        out = [b""] * len(words)
         short = []
-        for k in order:
+        for k in sorted(range(len(words)), key=lambda k: -len(words[k])):
             if len(words[k]) > SHORT:
-                out[k] = self._long(words[k])
+                out[k] = np.array(self._long(words[k]), "<i4").tobytes()
             elif words[k]:
                 short.append(k)
-            else:
-                out[k] = []
         for begin in range(0, len(short), TOGETHER):
             part = short[begin : begin + TOGETHER]
             for k, ids in zip(part, self._together([words[k] for k in part]), strict=True):
@@ -203,10 +201,11 @@ class PrefixEncoder:
         return out
 
     def _compile(self, stretches: list[str]) -> list[bytes]:
-        split = [[w.encode("utf-8") for w in self.pre_tokens(s)] for s in stretches]
+        # a space and letters are one word for certain
+        split = [[s] if s[0] == " " and s.isascii() and s[1:].isalpha() else self.pre_tokens(s) for s in stretches]
         distinct = list(dict.fromkeys(chain.from_iterable(split)))
-        ids = {w: np.array(i, "<i4").tobytes() for w, i in zip(distinct, self.words(distinct), strict=True)}
-        return [b"".join([ids[w] for w in words]) for words in split]
+        ids = dict(zip(distinct, self.words([w.encode("utf-8") for w in distinct]), strict=True))
+        return [ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for words in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian 32-bit integers."""
