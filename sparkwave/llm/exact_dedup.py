@@ -116,11 +116,14 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", block_bytes:
 
 def drop_copies(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, all columns."""
-    t = text_of(text)
-    stay = classes(df, id, text).where("kept").select(F.col(id).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("chars").alias("_chars"), "group_size")
-    same = F.col(id).eqNullSafe(F.col("_id")) & (F.sha2(normalised(t), 256) == F.col("_sha")) & (F.length(t) == F.col("_chars"))
-    found = df.join(stay, same)
-    alone = found.where("group_size = 1").select(*df.columns)
+    # a row is one value here, so that its columns may have any name
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    own, t = F.col("row").getField(id), F.coalesce(F.col("row").getField(text), F.lit(""))
+    sha, chars = F.sha2(normalised(t), 256).alias("sha"), F.length(t).alias("chars")
+    stay = classes(df, id, text).where("kept").select(F.col(id).alias("id"), F.col("text_sha256").alias("sha"), "chars", "group_size")
+    named = df.select(row.alias("row")).select("row", own.alias("own"), sha, chars)
+    found = named.join(stay, F.col("own").eqNullSafe(F.col("id")) & (named["sha"] == stay["sha"]) & (named["chars"] == stay["chars"])).drop(stay["sha"])
+    alone = found.where("group_size = 1").select("row.*")
     # rows that agree in id, text and length are one document
-    first = found.where("group_size > 1").dropDuplicates(["_id", "_sha"]).select(*df.columns)
+    first = found.where("group_size > 1").dropDuplicates(["own", "sha"]).select("row.*")
     return alone.unionByName(first)

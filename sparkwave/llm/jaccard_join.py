@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from sparkwave.llm.common import map_batches, text_of
 from sparkwave.llm.shingles import WORDS, shingle_set
 from sparkwave.operators.graph import components
-from sparkwave.plans.lineage import cut
+from sparkwave.plans.lineage import cut, discard
 
 PERCENT = 80
 CHUNK_SHINGLES = 1 << 19
@@ -280,6 +280,19 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(spread.select("list"), "list")
 
 
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of lists that the links leave in several components, with their roots.
+
+    Each step is written, so that no plan holds the exchanges of several steps.
+    """
+    roots = cut(components(links))
+    placed = cut(_with_roots(members, roots))
+    discard(roots)
+    spread = cut(_mixed(placed))
+    discard(placed)
+    return spread
+
+
 def _short_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of different components, sizes permitting, from lists of at most ``LONG_LIST`` members."""
     own = members.where(F.col("length") <= LONG_LIST).select("list", "c", "n", "root")
@@ -288,7 +301,14 @@ def _short_pairs(members: DataFrame, percent: int) -> DataFrame:
     return own.join(other, (own["list"] == other["list"]) & fit).select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
 
 
-def _long_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _from_lead(members: DataFrame) -> DataFrame:
+    """Members of lists above ``LONG_LIST``, and whether they are in the component of the list's first one."""
+    long = members.where(F.col("length") > LONG_LIST)
+    heads = long.where(F.col("c") == F.col("first")).select("list", F.col("root").alias("first_root"))
+    return long.join(heads, "list").withColumn("lead", F.col("root") == F.col("first_root"))
+
+
+def _long_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components of long lists; not all of them, but enough to join what belongs together.
 
     Members in the component of the first one are dealt into blocks of one kind, the
@@ -332,10 +352,6 @@ def _long_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 b.append(int(c[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    long = members.where(F.col("length") > LONG_LIST)
-    lead = F.col("root") == F.col("first_root")
-    heads = long.where(F.col("c") == F.col("first")).select("list", F.col("root").alias("first_root"))
-    long = long.join(heads, "list").withColumn("lead", lead)
     numbers = long.groupBy("list").agg(F.count_if("lead").alias("leads"), F.count_if(~F.col("lead")).alias("others"))
     blocks = [F.ceil(F.col(x) / BLOCK_MEMBERS).cast("int").alias("n_" + x) for x in ("leads", "others")]
     long = long.join(numbers.select("list", *blocks), "list")
@@ -387,13 +403,16 @@ def _join(
     heads = chunks.where("block < 0").select(F.explode(F.arrays_zip("ids", "d1", "d2", "sizes", "c1", "c2", "small")).alias("x")).select("x.*")
     named = heads.select(F.col("ids").alias("id"), "d1", "d2", F.col("sizes").alias("n"), F.col("c1").alias("c"), "c2", "small")
     classes = cut(named.groupBy("c", "c2", "n").agg(F.first("small").alias("small"), F.min(F.struct("d1", "d2")).alias("doc"), F.min("id").alias("least"), F.count(F.lit(1)).alias("times")))
-    lists = cut(_lists(chunks, cut(_levels(chunks)), percent).distinct())
+    levels = cut(_levels(chunks))
+    lists = cut(_lists(chunks, levels, percent).distinct())
+    discard(levels)
     if light is None:
         sizes = {r["n"]: r["count"] for r in classes.where((F.col("n") > 0) & (F.col("n") <= MOST_LIGHT)).groupBy("n").count().collect()}
         length = lists.groupBy("key").count().agg(F.coalesce(F.avg("count"), F.lit(0.0))).first()[0]
         light = boundary(sizes, length, percent)
     postings = lists.where(100 * F.col("n") > percent * light).unionByName(_subsets(classes, light, percent))
     postings = cut(postings)
+    discard(lists)
     # lists with the same members are one
     signed = postings.groupBy("key").agg(
         F.count(F.lit(1)).alias("length"), F.min("c").alias("first"), F.bit_xor(F.xxhash64("c")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("s2")
@@ -406,19 +425,24 @@ def _join(
     star = members.where("c <> first").select(F.col("first").alias("a"), F.col("c").alias("b")).distinct()
     star = cut(_similar(star, sets))
     links = _edges(star.where(_linked(percent)))
-    rooted = cut(_mixed(_with_roots(members, components(links))))
+    rooted = _apart(members, links)
     # then those left against the member closest to the first
     near = star.select(F.col("a").alias("first"), F.col("b").alias("c"), (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("near"))
     ranked = rooted.join(near, ["first", "c"])
     second = ranked.groupBy("list").agg(F.max_by(F.struct("c", "root"), F.struct("near", "c")).alias("best"))
     again = rooted.join(second, "list").where(F.col("root") != F.col("best.root"))
     again = again.select(F.least("c", "best.c").alias("a"), F.greatest("c", "best.c").alias("b")).distinct()
-    links = links.unionByName(_edges(cut(_similar(again, sets)).where(_linked(percent))))
-    rooted = cut(_mixed(_with_roots(members, components(links))))
+    if not rooted.isEmpty():
+        links = cut(links.unionByName(_edges(_similar(cut(again), sets).where(_linked(percent)))))
+        discard(rooted)
+        rooted = _apart(members, links)
     # then all that are in different components
-    short = _edges(_similar(_short_pairs(rooted, percent), sets).where(_linked(percent)))
-    long = _edges(_long_links(rooted, sets, percent))
-    links = cut(links.unionByName(short).unionByName(long))
+    if not rooted.isEmpty():
+        short = cut(_edges(_similar(cut(_short_pairs(rooted, percent)), sets).where(_linked(percent))))
+        long = cut(_edges(_long_links(cut(_from_lead(rooted)), sets, percent)))
+        links = cut(links.unionByName(short).unionByName(long))
+    for done in (members, sets, postings, kept, rooted):
+        discard(done)
     roots = cut(components(links))
 
     # the smallest id of a component, for classes of several documents or links
@@ -453,10 +477,12 @@ def drop_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", perc
 
     Documents without an id stay where their whole component has none. Rows that agree in id and text are one document.
     """
-    found = _join(df, id, text, percent, shingle_words)
+    found = cut(_join(df, id, text, percent, shingle_words))
     stay = found.where(F.col("id") == F.col("component_id")).dropDuplicates(["g1", "g2", "g3"])
-    unknown = found.where(F.col("component_id").isNull())
-    stay = stay.unionByName(unknown).select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"))
-    t = text_of(text)
-    same = (F.xxhash64(F.col(id), t) == F.col("_d1")) & (F.xxhash64(F.lit(1), F.col(id), t) == F.col("_d2"))
-    return df.join(stay, same).dropDuplicates(["_d1", "_d2"]).select(*df.columns)
+    stay = cut(stay.unionByName(found.where(F.col("component_id").isNull())).select("d1", "d2").distinct())
+    discard(found)
+    # a row is one value here, so that its columns may have any name
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    own, t = F.col("row").getField(id), F.coalesce(F.col("row").getField(text), F.lit(""))
+    named = df.select(row.alias("row")).select("row", F.xxhash64(own, t).alias("d1"), F.xxhash64(F.lit(1), own, t).alias("d2"))
+    return named.join(stay, ["d1", "d2"]).dropDuplicates(["d1", "d2"]).select("row.*")

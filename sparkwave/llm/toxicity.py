@@ -156,17 +156,21 @@ def grade(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity"
     shared = df.sparkSession.sparkContext.broadcast(model)
     result = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())])
     columns = [c for c in df.columns if c != out]
-    schema = T.StructType([*(df.schema[c] for c in columns), T.StructField(out, result)])
+    whole = T.StructType([df.schema[c] for c in columns])
+    # a row is one value here, so that its columns may have any name
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             severity, likely, rejected = [], [], []
-            for t in batch[text]:
+            for t in batch["row"].field(at):
                 above = shared.value.above(t.as_py() or "")
                 severity.append(float(above.sum()))
                 likely.append(int(np.argmax(np.concatenate(([1.0], above)) - np.concatenate((above, [0.0])))))
                 rejected.append(bool(above[0] > 0.5))
             made = pa.StructArray.from_arrays([pa.array(severity, pa.float64()), pa.array(likely, pa.int32()), pa.array(rejected)], ["severity", "grade", "rejected"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*columns, out])
+            yield pa.RecordBatch.from_arrays([batch["row"], made], ["row", "made"])
 
-    return map_batches(df.select(*[F.col(f"`{c}`") for c in columns]), run, schema)
+    graded = map_batches(rows, run, T.StructType([T.StructField("row", whole), T.StructField("made", result)]))
+    return graded.select("row.*", F.col("made").alias(out))

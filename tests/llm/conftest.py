@@ -29,8 +29,11 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     """Every odd case, with extra columns whose names the operators also use inside."""
-    wide = [(i, t, "x", 1, i, "f", 2.0, None) for i, t in rows]
-    schema = "doc_id long, text string, `rid` string, `pos` int, `id` long, `t` string, `score` double, `n` int"
+    wide = [(i, t, "x", 1, i, "f", 2.0, None, 7, "i", "s", 8, 9, 10, "tox", "dot", "row") for i, t in rows]
+    schema = (
+        "doc_id long, text string, `rid` string, `pos` int, `id` long, `t` string, `score` double, `n` int, group_size int, _id string, "
+        "_sha string, _chars int, _d1 int, _d2 int, _toxicity string, `a.b` string, `row` string"
+    )
     return spark.createDataFrame(wide, schema).repartition(3)
 
 
