@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwave.llm import exact_dedup, jaccard_join, packing, quality_rules, toxicity
+from sparkwave.llm.common import free_name
 from sparkwave.plans.lineage import cut
 
 
@@ -18,7 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are rejected as toxic go; the model learns from the labelled ones among those that came here."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.grade(docs, model, out="_toxicity").where("NOT _toxicity.rejected").drop("_toxicity")
+    out = free_name(docs, "toxicity")
+    return toxicity.grade(docs, model, out=out).where(~F.col(out)["rejected"]).drop(out)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
