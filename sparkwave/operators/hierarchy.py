@@ -94,19 +94,28 @@ def resolve_map(raw: Column, base: Column) -> Column:
     return F.aggregate(passes, base.cast("map<string,double>"), one_pass)
 
 
+def _given(texts: Column, known: Column) -> tuple[Column, Column]:
+    """The entries of a map of texts that have a value, and the names of those that have none."""
+    values = F.map_filter(F.transform_values(texts, lambda k, v: _read(v, known)), lambda k, v: v.isNotNull())
+    return values, F.array_except(F.map_keys(texts), F.map_keys(values))
+
+
+def _environment(defaults: Column, overrides: Column, caller: Column) -> tuple[Column, Column]:
+    """What the body of an instance knows, and the names of parameters without a value."""
+    # an overridden default is still read, but the override stands in its place
+    mine = resolve_map(defaults, caller)
+    given, missing = _given(overrides, caller)
+    missing = F.concat(F.array_except(F.map_keys(defaults), F.map_keys(mine)), missing)
+    return override_map(mine, given), F.array_sort(F.array_distinct(missing))
+
+
 def inherit_params(instances: DataFrame, keys: list[str]) -> DataFrame:
     """``params`` and ``leftovers`` of instances with ``defaults``, ``overrides`` and ``caller``.
 
     Defaults are read in the callee, overrides in the caller, and overrides win.
     """
-    defaults, overrides, caller = F.col("defaults"), F.col("overrides"), F.col("caller").cast("map<string,double>")
-    # an overridden default is still read, but the override stands in its place
-    mine = resolve_map(defaults, caller)
-    given = F.map_filter(F.transform_values(overrides, lambda k, v: _read(v, caller)), lambda k, v: v.isNotNull())
-    missing = F.concat(
-        F.array_except(F.map_keys(defaults), F.map_keys(mine)), F.array_except(F.map_keys(overrides), F.map_keys(given))
-    )
-    return instances.select(*keys, override_map(mine, given).alias("params"), F.array_sort(F.array_distinct(missing)).alias("leftovers"))
+    params, leftovers = _environment(F.col("defaults"), F.col("overrides"), F.col("caller").cast("map<string,double>"))
+    return instances.select(*keys, params.alias("params"), leftovers.alias("leftovers"))
 
 
 # ------------------------------------------------------------------ expansion
@@ -114,35 +123,50 @@ def inherit_params(instances: DataFrame, keys: list[str]) -> DataFrame:
 
 @dataclass
 class Flat:
-    """Expanded elements and the reasons why instances could not be expanded."""
+    """Expanded elements, the reasons why instances could not be expanded, and what the instances know.
 
-    elements: DataFrame  # deck, name, letter, nodes, args, params, depth, line, scope
-    errors: DataFrame    # deck, name, line, error
+    ``values`` and ``arg_values`` are the numbers of ``params`` and ``args``, literal or by the name of a
+    parameter of the instance they stand in; ``leftovers`` names the ``params`` without one.
+    """
+
+    elements: DataFrame   # deck, name, letter, nodes, args, params, depth, line, scope, values, arg_values, leftovers
+    errors: DataFrame     # deck, name, line, error
+    instances: DataFrame  # deck, name, line, depth, params, leftovers
 
 
 NO_MAP = "map<string,string>"
 
 
-def expand_hierarchy(cards: DataFrame, defs: DataFrame, max_depth: int = MAX_DEPTH) -> Flat:
+def expand_hierarchy(cards: DataFrame, defs: DataFrame, max_depth: int = MAX_DEPTH, globals: DataFrame | None = None) -> Flat:
     """Expand every instance (letter ``x``) of every deck, one level per round.
 
     Names are prefixed with the instance path, ports become the caller's nodes,
     ground stays ``0`` and inner nodes get the prefix. The first argument of an
     instance names its definition, looked up along the chain of callers. The
-    elements of a deck with an error are not returned.
+    elements and instances of a deck with an error are not returned.
+
+    Parameters travel with the levels: an instance's body knows all that its caller
+    knows, the definition's defaults and, in their place, the instance's ``params``
+    read in the caller. ``globals(deck, params)`` are known at the top, in texts that
+    may name each other.
     """
-    empty = F.create_map().cast(NO_MAP)
+    empty, unknown = F.create_map().cast(NO_MAP), F.create_map().cast("map<string,double>")
+    decks = cards.select("deck").distinct()
+    if globals is not None:
+        told = globals.select("deck", resolve_map(F.coalesce("params", empty), unknown).alias("env"))
+        decks = decks.join(told, "deck", "left")
     front = cut(
-        cards.select("deck").distinct().select(
+        decks.select(
+            F.coalesce("env", unknown).alias("env") if globals is not None else unknown.alias("env"),
             "deck", F.lit("").alias("prefix"), F.lit("").alias("body"), F.array(F.lit("")).alias("chain"),
             F.array().cast("array<string>").alias("seen"), empty.alias("ports"), F.lit(0).alias("depth"),
         )
     )
     known = defs.select(
         "deck", F.col("scope").alias("_scope"), F.lower("name").alias("_key"),
-        F.struct("scope", "name", "ports", body_scope("scope", "name").alias("body")).alias("d"),
+        F.struct("scope", "name", "ports", body_scope("scope", "name").alias("body"), F.coalesce("defaults", empty).alias("defaults")).alias("d"),
     )
-    elements, errors = [], []
+    elements, errors, instances = [], [], []
     for depth in range(max_depth + 2):
         if front.limit(1).count() == 0:
             break
@@ -152,15 +176,17 @@ def expand_hierarchy(cards: DataFrame, defs: DataFrame, max_depth: int = MAX_DEP
         node = lambda n: F.when(is_ground(n), F.lit("0")).otherwise(
             F.coalesce(F.try_element_at("ports", F.lower(n)), F.concat("prefix", n))
         )
-        here = front.join(cards.withColumnRenamed("scope", "body"), ["deck", "body"]).select(
+        here = front.drop("line", "leftovers").join(cards.withColumnRenamed("scope", "body"), ["deck", "body"]).select(
             "deck", "body", "chain", "seen", "prefix", "depth", "line", F.lower("letter").alias("letter"),
-            F.concat("prefix", "name").alias("name"), F.transform("nodes", node).alias("nodes"), "args", "params",
+            F.concat("prefix", "name").alias("name"), F.transform("nodes", node).alias("nodes"), "args", "params", "env",
         )
+        values, leftovers = _given(F.coalesce("params", empty), F.col("env"))
         linked = F.when(F.col("letter") == "k", 2).when(F.col("letter").isin("f", "h"), 1).otherwise(0)
         args = F.transform("args", lambda a, i: F.when(i < linked, F.concat(F.col("prefix"), a)).otherwise(a))
         elements.append(
             here.where(F.col("letter") != "x").select(
-                "deck", "name", "letter", "nodes", args.alias("args"), "params", "depth", "line", F.col("body").alias("scope")
+                "deck", "name", "letter", "nodes", args.alias("args"), "params", "depth", "line", F.col("body").alias("scope"),
+                values.alias("values"), F.transform("args", lambda a: _read(a, F.col("env"))).alias("arg_values"), F.array_sort(leftovers).alias("leftovers"),
             )
         )
         calls = cut(here.where(F.col("letter") == "x").withColumn("ref", F.get("args", F.lit(0))))
@@ -186,9 +212,13 @@ def expand_hierarchy(cards: DataFrame, defs: DataFrame, max_depth: int = MAX_DEP
             .when(F.array_contains("seen", state), F.lit("nested too deep"))
         )
         errors.append(resolved.where(wrong.isNotNull()).select("deck", "name", "line", wrong.alias("error")))
+        env, missing = _environment(F.col("d.defaults"), F.coalesce("params", empty), F.col("env"))
         front = cut(
             resolved.where(wrong.isNull()).select(
                 "deck",
+                "line",
+                env.alias("env"),
+                missing.alias("leftovers"),
                 F.concat("name", F.lit(".")).alias("prefix"),
                 F.col("d.body").alias("body"),
                 "chain",
@@ -197,16 +227,24 @@ def expand_hierarchy(cards: DataFrame, defs: DataFrame, max_depth: int = MAX_DEP
                 (F.col("depth") + 1).alias("depth"),
             )
         )
+        instances.append(front.select("deck", F.regexp_replace("prefix", r"\.$", "").alias("name"), "line", "depth", F.col("env").alias("params"), "leftovers"))
+    if not instances:
+        nothing = front.select("deck", F.col("prefix").alias("name"), F.lit(0).alias("line"), "depth", F.col("env").alias("params"), "seen")
+        instances.append(nothing.withColumnRenamed("seen", "leftovers").limit(0))
+    known_params = instances[0]
+    for i in instances[1:]:
+        known_params = known_params.unionByName(i)
     flat = elements[0]
     for e in elements[1:]:
         flat = flat.unionByName(e)
     if not errors:
         none = flat.select("deck", "name", "line", F.lit("").alias("error")).limit(0)
-        return Flat(flat, none)
+        return Flat(flat, none, known_params)
     bad = errors[0]
     for e in errors[1:]:
         bad = bad.unionByName(e)
-    return Flat(flat.join(bad.select("deck").distinct(), "deck", "left_anti"), bad)
+    wrong_decks = bad.select("deck").distinct()
+    return Flat(flat.join(wrong_decks, "deck", "left_anti"), bad, known_params.join(wrong_decks, "deck", "left_anti"))
 
 
 def include_graph(edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwave.operators import hierarchy as H
@@ -126,6 +129,70 @@ def join10(spark, sf):
     return got.select("p_partkey", F.col("params")["r"].alias("r"), top.alias("top"), top.alias("given"), F.array_join("leftovers", " ").alias("leftovers"))
 
 
+def parameter_chain(spark, sf):
+    """A deck per region; every supplier is an instance of ``outer``, which holds one of ``mid``, which holds one of ``inner``.
+
+    The parameter has another name on each level, and odd suppliers do not override it at the top.
+    """
+    s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
+    m = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv]).cast("map<string,string>")
+    key = F.col("s_suppkey").cast("string")
+    of = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    top = of.select(
+        F.col("r_name").alias("deck"), F.lit("").alias("scope"), F.col("s_suppkey").cast("int").alias("line"), F.lit("x").alias("letter"),
+        F.concat(F.lit("X"), key).alias("name"), F.array(F.lit("in")).alias("nodes"), F.array(F.lit("outer")).alias("args"),
+        F.when(F.col("s_suppkey") % 2 == 0, m("gain", F.concat(key, F.lit("k")))).otherwise(m()).alias("params"),
+    )
+    cards, defs = [top], []
+    bodies = (
+        ("outer", m("gain", "3", "bias", "{volt}"), "x", "XM", ("mid",), m("level", "{gain}")),
+        ("mid", m("twice", "level", "level", "5"), "x", "XI", ("inner",), m("rv", "{level}", "cap", "{twice}", "off", "{1*2}")),
+        ("inner", m("rv", "1k", "cap", "RV"), "r", "R1", ("{rv}", "{cap}"), m("tc", "{bias}", "bad", "{rv*2}")),
+    )
+    for name, defaults, letter, held, args, params in bodies:
+        deck = F.col("r_name").alias("deck")
+        defs.append(r.select(deck, F.lit("").alias("scope"), F.lit(name).alias("name"), F.array(F.lit("a")).alias("ports"), defaults.alias("defaults")))
+        cards.append(
+            r.select(
+                deck, F.lit(f"/{name}").alias("scope"), F.lit(1).alias("line"), F.lit(letter).alias("letter"), F.lit(held).alias("name"),
+                F.array(F.lit("a")).alias("nodes"), F.array(*map(F.lit, args)).alias("args"), params.alias("params"),
+            )
+        )
+    told = r.select(F.col("r_name").alias("deck"), m("volt", F.col("r_regionkey").cast("string")).alias("params"))
+    return H.expand_hierarchy(reduce(DataFrame.unionByName, cards), reduce(DataFrame.unionByName, defs), globals=told)
+
+
+CHAIN = """
+WITH i AS (SELECT r_name AS deck, r_regionkey::DOUBLE AS volt, 'X' || s_suppkey AS top, CASE WHEN s_suppkey % 2 = 0 THEN 1000.0 * s_suppkey ELSE 3.0 END AS gain
+           FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+"""
+
+
+@query(
+    "join10_hierarchy_params",
+    CHAIN + "SELECT deck, top || '.XM.XI.R1' AS name, gain::DOUBLE AS r, 5.0::DOUBLE AS cap, volt AS tc, 'bad' AS leftovers FROM i",
+)
+def join10_chain(spark, sf):
+    """Elements: a default that names another one is read before the override takes its place, so ``cap`` stays 5."""
+    e = parameter_chain(spark, sf).elements
+    return e.select(
+        "deck", "name", F.get("arg_values", F.lit(0)).alias("r"), F.get("arg_values", F.lit(1)).alias("cap"),
+        F.try_element_at("values", F.lit("tc")).alias("tc"), F.array_join("leftovers", " ").alias("leftovers"),
+    )
+
+
+@query(
+    "join10_instance_params",
+    CHAIN + """SELECT deck, top AS name, 1 AS depth, gain::DOUBLE AS gain, NULL::DOUBLE AS level, NULL::DOUBLE AS rv, '' AS leftovers FROM i
+    UNION ALL SELECT deck, top || '.XM', 2, gain, gain, NULL, '' FROM i
+    UNION ALL SELECT deck, top || '.XM.XI', 3, gain, gain, gain, 'off' FROM i""",
+)
+def join10_instances(spark, sf):
+    got = parameter_chain(spark, sf).instances
+    value = lambda name: F.try_element_at("params", F.lit(name)).alias(name)
+    return got.select("deck", "name", "depth", value("gain"), value("level"), value("rv"), F.array_join("leftovers", " ").alias("leftovers"))
+
+
 # ------------------------------------------------------------------ decks
 
 # body, verdict and line of each form of deck

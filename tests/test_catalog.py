@@ -97,3 +97,29 @@ def test_interrupted_rewrite_leaves_the_catalog(spark, tmp_path, monkeypatch):
     assert O.read_catalog(spark, where).count() == 2
     O.write_catalog(d.limit(1), where)
     assert O.read_catalog(spark, where).count() == 1
+
+
+def test_parameters_through_the_levels(spark):
+    """An override by the caller's name, a default in its place, an unreadable one, and a parameter of the deck."""
+    none = {}
+    cards = [
+        ("d", "", 1, "x", "X1", ["in", "mid"], ["outer"], {"scale": "3k"}),
+        ("d", "", 2, "x", "X2", ["in", "mid"], ["outer"], none),
+        ("d", "", 3, "r", "R2", ["mid", "0"], ["{top}"], None),
+        ("d", "/outer", 1, "x", "XA", ["a", "b"], ["inner"], {"rv": "{scale}"}),
+        ("d", "/inner", 1, "r", "R1", ["a", "b"], ["{RV}"], {"tc": "odd+1", "w": "top"}),
+    ]
+    defs = [("d", "", "outer", ["a", "b"], {"scale": "2"}), ("d", "", "inner", ["a", "b"], {"rv": "1k", "half": "rv/2"})]
+    cards = spark.createDataFrame(
+        cards, "deck string, scope string, line int, letter string, name string, nodes array<string>, args array<string>, params map<string,string>"
+    )
+    defs = spark.createDataFrame(defs, "deck string, scope string, name string, ports array<string>, defaults map<string,string>")
+    told = spark.createDataFrame([("d", {"top": "{base}", "base": "7"})], "deck string, params map<string,string>")
+    flat = H.expand_hierarchy(cards, defs, globals=told)
+    found = {r.name: (r.arg_values, r["values"], r.leftovers) for r in flat.elements.collect()}
+    assert found == {"X1.XA.R1": ([3000.0], {"w": 7.0}, ["tc"]), "X2.XA.R1": ([2.0], {"w": 7.0}, ["tc"]), "R2": ([7.0], {}, [])}
+    inside = {r.name: (r.params["rv"] if "rv" in r.params else None, r.params["scale"], r.leftovers) for r in flat.instances.collect()}
+    assert inside == {"X1": (None, 3000.0, []), "X2": (None, 2.0, []), "X1.XA": (3000.0, 3000.0, ["half"]), "X2.XA": (2.0, 2.0, ["half"])}
+    assert flat.errors.count() == 0
+    alone = H.expand_hierarchy(cards.where("name = 'R2'"), defs)
+    assert alone.instances.count() == 0 and [r.arg_values for r in alone.elements.collect()] == [[None]]
