@@ -31,9 +31,14 @@ def _let(x: Column, body) -> Column:
 
 
 def uniform(seed, draw) -> Column:
-    """Draw number ``draw`` (from 0) of the mulberry32 sequence of ``seed``, in [0, 1)."""
+    """Draw number ``draw`` (from 0) of the mulberry32 sequence of ``seed``, in [0, 1).
+
+    The sequence has 2^32 draws; a draw beyond them is an error, since it would repeat an earlier one.
+    """
     s = _c(seed).cast("long").bitwiseAND(MASK)
-    n = (_c(draw).cast("long") + 1).bitwiseAND(MASK)
+    d = _c(draw).cast("long")
+    d = F.when((d < 0) | (d > MASK), F.raise_error(F.lit("a draw must be from 0 to 2^32 - 1"))).otherwise(d)
+    n = (d + 1).bitwiseAND(MASK)
     state = (s + _mul32(n, F.lit(STEP).cast("long"))).bitwiseAND(MASK)
 
     def scramble(t: Column) -> Column:

@@ -51,6 +51,23 @@ def discard(df: DataFrame) -> None:
     """Delete the table that ``cut`` wrote for ``df``; nothing that is still to run may read it."""
     where = getattr(df, "_written_to", None)
     if where is not None:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, where)
+
+
+def _file_system(spark: SparkSession, folder: str):
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library wrote; one that is not there is no error."""
+    files, path = _file_system(spark, folder)
+    files.delete(path, True)
+
+
+def written_numbers(spark: SparkSession, folder: str, name: str = "batch") -> list[int]:
+    """The numbers of the completely written tables ``name=<number>`` in a folder, in order. Only names are read."""
+    files, path = _file_system(spark, folder)
+    tables = [s.getPath() for s in files.globStatus(path.suffix(f"/{name}=*/_SUCCESS")) or []]
+    return sorted(int(t.getParent().getName().split("=")[1]) for t in tables)

@@ -5,7 +5,10 @@ order checks need the sample before each sample, so they run per micro-batch wit
 the batch operators: the last sample of every key is kept in a small table next
 to the output and joins the next batch as its first row. A key that fills a whole
 micro-batch is therefore still split over tasks. Batch ``n`` writes the folder
-``batch=n``, so a repeated batch replaces itself.
+``batch=n``, so a repeated batch replaces itself. Batch ``n`` needs the state of
+batch ``n - 1`` only, and older states are removed when it is done, so that state
+and its reading do not grow with the number of batches. The state also counts what
+every key accepted and rejected, which makes up the rows of the runs' status.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from pyspark.sql.streaming import StreamingQuery
 from sparkwave.operators import measure as M
 from sparkwave.operators import samples as S
 from sparkwave.plans import chunks as C
+from sparkwave.plans.lineage import remove, written_numbers
 
 WAVES = "run long, sig string, i long, t double, v double"
-LAST = "run long, sig string, t_first double, t double, i long, v double"
+LAST = "run long, sig string, t_first double, t double, i long, v double, accepted long, rejected long"
 
 
 def read_wave_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -84,12 +88,20 @@ def _step(out: str, measure: Callable[[DataFrame, DataFrame], DataFrame], rows_p
         late.select("run", "sig", "i", "t", F.lit("older than the stream").alias("reason")).write.mode("overwrite").parquet(
             f"{out}/late/batch={number}"
         )
-        now = rows.groupBy("run", "sig").agg(F.min("t").alias("_t0"), F.max(F.struct("t", "i", "v")).alias("_s"))
-        kept = now.join(last.select("run", "sig", F.col("t_first").alias("_old")), ["run", "sig"], "left").select(
-            "run", "sig", F.coalesce("_old", "_t0").alias("t_first"), "_s.t", "_s.i", "_s.v"
+        # what was carried over was counted before
+        now = rows.groupBy("run", "sig").agg(F.min("t").alias("_t0"), F.max(F.struct("t", "i", "v")).alias("_s"), F.count(F.lit(1)).alias("_rows"))
+        old = last.select("run", "sig", F.col("t_first").alias("_old"), "accepted", "rejected")
+        behind = late.groupBy("run", "sig").agg(F.count(F.lit(1)).alias("_late"))
+        kept = now.join(old, ["run", "sig"], "left").join(behind, ["run", "sig"], "left").select(
+            "run", "sig", F.coalesce("_old", "_t0").alias("t_first"), "_s.t", "_s.i", "_s.v",
+            F.coalesce(F.col("accepted") + F.col("_rows") - 1, "_rows").alias("accepted"),
+            (F.coalesce("rejected", F.lit(0)) + F.coalesce("_late", F.lit(0))).cast("long").alias("rejected"),
         )
         kept.write.mode("overwrite").parquet(f"{out}/last/batch={number}")
         batch.unpersist()
+        for done in written_numbers(spark, f"{out}/last"):
+            if done < number - 1:
+                remove(spark, f"{out}/last/batch={done}")
 
     return run
 
@@ -143,9 +155,15 @@ def stream_monotonic(stream: DataFrame, out: str, rows_per_chunk: int | None = N
 
 
 def _newest(spark: SparkSession, out: str) -> DataFrame:
-    every = spark.read.option("basePath", f"{out}/last").parquet(f"{out}/last")
-    newest = every.agg(F.max("batch").alias("batch"))
-    return every.join(F.broadcast(newest), "batch").drop("batch")
+    """The state after the last batch that was done; no other one is read."""
+    done = written_numbers(spark, f"{out}/last")
+    return _last_state(spark, out, done[-1] + 1 if done else 0)
+
+
+def read_runs(spark: SparkSession, out: str, query: StreamingQuery) -> DataFrame:
+    """One row per run: how far it has come, the samples it accepted and rejected (older than the stream), and the query's status."""
+    counts = [F.sum(c).alias(c) for c in ("accepted", "rejected")]
+    return _newest(spark, out).groupBy("run").agg(F.max("t").alias("t"), *counts).withColumn("status", F.lit(status(query)))
 
 
 def read_crossings(spark: SparkSession, out: str) -> DataFrame:
