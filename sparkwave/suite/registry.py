@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ("wave_queries", "spectrum_queries", "case_queries", "function_queries", "catalog_queries", "sheet_queries", "deck_queries", "stream_queries")
+MODULES = ("wave_queries", "spectrum_queries", "case_queries", "function_queries", "sql_queries", "catalog_queries", "sheet_queries", "deck_queries", "stream_queries")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
