@@ -19,32 +19,44 @@ PART_NOTE = "Third-party card, used verbatim and not validated."
 # ------------------------------------------------------------------ extraction
 
 
-def match_blocks(events: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+def match_blocks(events: DataFrame, keys: Sequence[str] = ("path",), piece: str | None = None) -> DataFrame:
     """Pair openers (``delta`` 1) with closers (-1), innermost first.
 
     Adds ``depth`` (open blocks after the event), ``close_line`` and
     ``close_end``. Stray closers disappear; openers without a closer keep NULLs.
-    Other rows (``delta`` 0) get their depth.
+    Other rows (``delta`` 0) get their depth. Where a file comes in pieces, a piece
+    hands on its sum, its lowest point, and its first event of each level.
     """
-    so_far = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    walked = events.withColumn("_sum", F.sum("delta").over(so_far))
+    here = [*keys, piece] if piece else [*keys]
+    walked = C.running_sum(events, keys, ["line"], "_sum", F.col("delta"), piece)
+    earlier = F.lit(0)
+    if piece:
+        lows = C.before_pieces(walked, keys, piece, {"_low": (F.min("_sum"), F.min)})
+        walked = walked.join(lows, here)
+        earlier = F.least(F.coalesce("_low", F.lit(0)), F.lit(0))
     # a closer with nothing open would push the sum under its lowest point so far
-    floor = F.least(F.min("_sum").over(so_far), F.lit(0))
+    so_far = Window.partitionBy(*here).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    floor = F.least(F.min("_sum").over(so_far), earlier)
     lowest_before = F.least(
-        F.coalesce(F.min("_sum").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0)
+        F.coalesce(F.min("_sum").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), earlier
     )
     walked = walked.withColumn("depth", F.col("_sum") - floor).withColumn(
         "_stray", (F.col("delta") < 0) & (F.col("_sum") < lowest_before)
     )
     level = F.col("depth") + F.when(F.col("delta") < 0, 1).otherwise(0)
     paired = walked.where(~F.col("_stray")).withColumn("_level", F.when(F.col("delta") != 0, level).otherwise(-1))
-    same = Window.partitionBy(*keys, "_level").orderBy("line")
+    same = Window.partitionBy(*here, "_level").orderBy("line")
+    after = F.lead(F.struct("line", "end")).over(same)
+    if piece:
+        first = paired.groupBy(*here, "_level").agg(F.min(F.struct("line", "end")).alias("_first"))
+        along = Window.partitionBy(*keys, "_level").orderBy(piece)
+        later = first.select(*here, "_level", F.lead("_first").over(along).alias("_later"))
+        paired = paired.withColumn("_after", after).join(later, [*here, "_level"])
+        after = F.coalesce("_after", "_later")
     opener = F.col("delta") > 0
-    return paired.select(
-        "*",
-        F.when(opener, F.lead("line").over(same)).alias("close_line"),
-        F.when(opener, F.lead("end").over(same)).alias("close_end"),
-    ).drop("_sum", "_stray", "_level")
+    return paired.select("*", F.when(opener, after).alias("_close")).select(
+        "*", F.col("_close.line").alias("close_line"), F.col("_close.end").alias("close_end")
+    ).drop("_sum", "_low", "_stray", "_level", "_after", "_later", "_close")
 
 
 def extract_definitions(files: DataFrame) -> DataFrame:
@@ -53,12 +65,23 @@ def extract_definitions(files: DataFrame) -> DataFrame:
     Gives name, kind, type, pins, line, character offsets, nesting depth and, for
     models, the parameter text. A block never closed ends with its file.
     """
-    lines = L.cards(L.line_offsets(files), L.CATALOG_COMMENTS)
+    sizes = files.select("path", F.length("text").cast("long").alias("_size"))
+    return _definitions(L.cards(L.line_offsets(files), L.CATALOG_COMMENTS), sizes)
+
+
+def stretch_definitions(rows: DataFrame) -> DataFrame:
+    """``extract_definitions`` of files that come as stretches (``lines.stretches``, ``corpus.read_stretches``)."""
+    lines = L.stretch_lines(rows)
+    sizes = lines.groupBy("path").agg(F.max("end").alias("_size"))
+    return _definitions(L.cards(lines, L.CATALOG_COMMENTS, piece=L.PIECE), sizes, L.PIECE)
+
+
+def _definitions(lines: DataFrame, sizes: DataFrame, piece: str | None = None) -> DataFrame:
     bare = F.regexp_replace("text", r"^\s+", "")
     word = F.lower(F.regexp_extract(bare, r"^\.([A-Za-z_]+)", 1))
     is_head = ~F.col("skip") & ~F.col("more")
     # one row per card: its first line, where it ends, and its folded text
-    head = F.when(is_head, F.struct("line", "start", "end", bare.alias("bare"), word.alias("word")))
+    head = F.when(is_head, F.struct("line", "start", "end", *([piece] if piece else []), bare.alias("bare"), word.alias("word")))
     per_card = (
         lines.where(F.col("card") > 0)
         .groupBy("path", "card")
@@ -71,14 +94,13 @@ def extract_definitions(files: DataFrame) -> DataFrame:
         .select("path", "h.*", "card_end", "folded")
     )
     delta = F.when(F.col("word") == "subckt", 1).when(F.col("word") == "model", 0).otherwise(-1)
-    matched = match_blocks(per_card.withColumn("delta", delta)).where(F.col("word").isin("subckt", "model"))
+    matched = match_blocks(per_card.withColumn("delta", delta), piece=piece).where(F.col("word").isin("subckt", "model"))
 
     args = L.tokens(F.regexp_replace("bare", r"^\.[A-Za-z_]+", ""))
     is_model = F.col("word") == "model"
     type_ = F.when(is_model, F.substring_index(F.coalesce(F.get(F.col("_t"), F.lit(1)), F.lit("")), "(", 1)).otherwise("")
-    size = F.length("text").cast("long").alias("_size")
     out = matched.withColumn("_t", args).where(F.size("_t") > 0).withColumn("type", type_)
-    out = out.join(files.select("path", size), "path")
+    out = out.join(sizes, "path")
     open_ended = ~is_model & F.col("close_line").isNull()
     return out.select(
         F.lower(F.get("_t", F.lit(0))).alias("name"),

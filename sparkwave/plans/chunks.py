@@ -228,6 +228,29 @@ def pieces_before(keyed: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def before_pieces(df: DataFrame, keys: Sequence[str], piece: str, summaries: dict) -> DataFrame:
+    """What lies before each piece of a key: ``summaries`` maps a name to (aggregate of a piece, how pieces combine).
+
+    One row per piece is all that crosses a border; the first piece gets NULLs.
+    """
+    along = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy(*keys, piece).agg(*[made.alias(name) for name, (made, _) in summaries.items()])
+    return parts.select(*keys, piece, *[combine(name).over(along).alias(name) for name, (_, combine) in summaries.items()])
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, value: Column, piece: str | None = None
+) -> DataFrame:
+    """Add ``name``: the sum of ``value`` up to each row of its key, also where the key comes in numbered pieces."""
+    if piece is None:
+        so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(so_far))
+    here = Window.partitionBy(*keys, piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = before_pieces(df, keys, piece, {"_earlier": (F.sum(value), F.sum)})
+    total = F.sum(value).over(here) + F.coalesce("_earlier", F.lit(0))
+    return df.join(earlier, [*keys, piece]).withColumn(name, total).drop("_earlier")
+
+
 def nth_in_key(
     keyed: DataFrame,
     keys: Sequence[str],

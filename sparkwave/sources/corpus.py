@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkwave.functions.names import safe_path
 from sparkwave.functions.scalar import _c
+from sparkwave.plans.sizing import broadcast_if_small
 
 # Where windows-1252 differs from ISO-8859-1.
 CP1252 = {
@@ -40,9 +41,51 @@ def read_corpus(spark: SparkSession, root: str, pattern: str = "*", max_bytes: i
 def decode_text(content) -> Column:
     """Strict UTF-8, and windows-1252 for bytes that are not."""
     c = _c(content)
-    latin = F.decode(c, "ISO-8859-1")
-    western = F.translate(latin, "".join(map(chr, CP1252)), "".join(CP1252.values()))
-    return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(western)
+    return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(_western(c))
+
+
+def _western(content: Column) -> Column:
+    return F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, CP1252)), "".join(CP1252.values()))
+
+
+def read_stretches(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """``(path, piece, n, text, more)`` of every matching file below ``root``, as ``lines.stretches`` makes them.
+
+    A file is read in ranges of ``spark.sql.files.maxPartitionBytes``, each in a task of
+    its own; ``piece`` is where its range starts. Spark leaves out a byte order mark and
+    does not say whether the last line is finished: both follow from the file's size.
+    A file with bytes that are not UTF-8 is windows-1252 as a whole. An empty file has no
+    rows. ``path`` is a URI; compressed files are not for this reader, since their size
+    says nothing of their text.
+    """
+    read = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
+    )
+    raw = read.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("piece"),
+        F.monotonically_increasing_id().alias("n"),
+        F.col("_metadata.file_size").alias("_size"),
+        F.col("value").alias("text"),
+    )
+    place = F.struct("piece", "n")
+    files = raw.groupBy("path").agg(
+        (F.max("_size") - F.sum(F.octet_length("text").cast("long") + 1)).alias("_rest"),
+        F.bool_and(F.is_valid_utf8("text")).alias("_utf8"),
+        F.min(place).alias("_first"),
+        F.max(place).alias("_last"),
+    )
+    finished = F.col("_rest").isin(0, 3)
+    rows = raw.join(broadcast_if_small(files), "path")
+    mark = F.when((F.col("_rest") >= 2) & (place == F.col("_first")), F.when(F.col("_utf8"), "\ufeff").otherwise("ï»¿")).otherwise("")
+    text = F.when(F.col("_utf8"), F.col("text")).otherwise(_western(F.col("text").cast("binary")))
+    lines = rows.select(
+        "path", "piece", "n", F.concat(mark, text).alias("text"), (finished | (place != F.col("_last"))).alias("more")
+    )
+    rest = files.where(finished).select(
+        "path", "_last.piece", (F.col("_last.n") + 1).alias("n"), F.lit("").alias("text"), F.lit(False).alias("more")
+    )
+    return lines.unionByName(rest)
 
 
 def decode_files(files: DataFrame) -> DataFrame:

@@ -241,14 +241,21 @@ d AS (
 """
 
 
-@query(
-    "cat1_extract_definitions",
-    PIECES + """SELECT name, kind, type, pins, path, CAST(line AS INTEGER) AS line, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", CAST(depth AS INTEGER) AS depth, unterminated, params FROM d""",
-)
+CAT1 = PIECES + """SELECT name, kind, type, pins, path, CAST(line AS INTEGER) AS line, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", CAST(depth AS INTEGER) AS depth, unterminated, params FROM d"""
+
+
+@query("cat1_extract_definitions", CAT1)
 def cat1(spark, sf):
     return C.extract_definitions(library_files(spark, sf)).withColumn("pins", F.array_join("pins", " "))
 
 
+@query("cat1_extract_definitions_split", CAT1)
+def cat1_split(spark, sf):
+    """The same with ranges of three lines, as for files too large for a task."""
+    rows = L.stretches(library_files(spark, sf), lines_per_piece=3)
+    return C.stretch_definitions(rows).withColumn("pins", F.array_join("pins", " "))
+
+
 @query("cat2_card_extent", PIECES + "SELECT path, name, CAST(line AS INTEGER) AS line, CAST(start AS BIGINT) AS start, CAST(\"end\" AS BIGINT) AS \"end\" FROM d WHERE kind = 'model'")
 def cat2(spark, sf):
     return C.extract_definitions(library_files(spark, sf)).where("kind = 'model'").select("path", "name", "line", "start", "end")
@@ -264,11 +271,20 @@ def cat4(spark, sf):
     return C.extract_definitions(library_files(spark, sf)).where("kind = 'model'").select("name", "params")
 
 
-@query("win11_match_blocks", PIECES + "SELECT path, CAST(line AS INTEGER) AS line, CAST(depth AS INTEGER) AS depth, unterminated FROM d WHERE kind = 'subckt'")
+WIN11 = PIECES + "SELECT path, CAST(line AS INTEGER) AS line, CAST(depth AS INTEGER) AS depth, unterminated FROM d WHERE kind = 'subckt'"
+
+
+@query("win11_match_blocks", WIN11)
 def win11(spark, sf):
     return C.extract_definitions(library_files(spark, sf)).where("kind = 'subckt'").select("path", "line", "depth", "unterminated")
 
 
+@query("win11_match_blocks_split", WIN11)
+def win11_split(spark, sf):
+    rows = L.stretches(library_files(spark, sf), lines_per_piece=2)
+    return C.stretch_definitions(rows).where("kind = 'subckt'").select("path", "line", "depth", "unterminated")
+
+
 @query(
     "snk3_definition_text",
     PIECES + """, f AS (SELECT path, string_agg(piece, '' ORDER BY k) AS text FROM o GROUP BY path)
@@ -279,19 +295,24 @@ def snk3(spark, sf):
     return O.definition_text(C.extract_definitions(files), files).select("path", "name", "text")
 
 
-@query(
-    "win10_logical_lines",
-    PIECES + """, l AS (SELECT path, before, '.MODEL m' || k || ' D(IS=' || size || 'E-14, RS=1) N=2' AS text, 1 AS n FROM o WHERE form = 0
+WIN10 = PIECES + """, l AS (SELECT path, before, '.MODEL m' || k || ' D(IS=' || size || 'E-14, RS=1) N=2' AS text, 1 AS n FROM o WHERE form = 0
       UNION ALL SELECT path, before, unnest(['.subckt s' || k || ' a b params: r=' || size, 'R1 a b {r}', '.ends']), unnest([1, 2, 3]) FROM o WHERE form = 1
       UNION ALL SELECT path, before, unnest(['.subckt o' || k || ' in, out', '.model Q' || k || ' NPN bf=' || size || ' ; c', '.ends o' || k]), unnest([1, 2, 3]) FROM o WHERE form = 2
       UNION ALL SELECT path, before, unnest(['.ends', '; comment']), unnest([1, 2]) FROM o WHERE form = 3
       UNION ALL SELECT path, before, '.subckt u' || k || ' p q', 1 FROM o WHERE form = 4)
-    SELECT path, CAST(before + n AS INTEGER) AS line, text FROM l""",
-)
+    SELECT path, CAST(before + n AS INTEGER) AS line, text FROM l"""
+
+
+@query("win10_logical_lines", WIN10)
 def win10(spark, sf):
     return L.logical_lines(library_files(spark, sf))
 
 
+@query("win10_logical_lines_split", WIN10)
+def win10_split(spark, sf):
+    return L.stretch_logical_lines(L.stretches(library_files(spark, sf), lines_per_piece=2))
+
+
 @query(
     "cat5_tokens",
     """SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, t AS token FROM (SELECT p_partkey, unnest([p_type, p_brand, 'x=' || p_size]) AS t, unnest([1, 2, 3]) AS i FROM part)""",
@@ -314,17 +335,24 @@ def cat6(spark, sf):
 # ------------------------------------------------------------------ whole documents
 
 
-@query(
-    "win12_line_offsets",
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+WIN12 = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
     o AS (SELECT *, coalesce(sum(length(line_text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)
-    SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(start AS BIGINT) AS start, CAST(start + length(line_text) AS BIGINT) AS "end", md5(line_text) AS digest FROM o""",
-)
+    SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(start AS BIGINT) AS start, CAST(start + length(line_text) AS BIGINT) AS "end", md5(line_text) AS digest FROM o"""
+
+
+@query("win12_line_offsets", WIN12)
 def win12(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     return L.line_offsets(d, ["doc_id"]).select("doc_id", "line", "start", "end", F.md5("text").alias("digest"))
 
 
+@query("win12_line_offsets_split", WIN12)
+def win12_split(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    lines = L.stretch_lines(L.stretches(d, ["doc_id"], 2), ["doc_id"])
+    return lines.select("doc_id", "line", "start", "end", F.md5("text").alias("digest"))
+
+
 @query("src5_decode_utf8", "SELECT doc_id, length(text) AS n, md5(text) AS digest FROM documents")
 def src5(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", O.decode_text(F.encode("text", "UTF-8")).alias("text"))
@@ -372,6 +400,23 @@ def src4(spark, sf):
     return files.groupBy(name.alias("file")).agg((F.sum("bytes") > 0).alias("filled"))
 
 
+@query(
+    "src4_read_stretches",
+    """SELECT source, CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, CAST(sum(('0x' || substr(md5(line), 1, 8))::BIGINT) AS BIGINT) AS digest
+    FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY source""",
+)
+def src4_stretches(spark, sf):
+    """Documents written as text files, read back in ranges of files."""
+    where = shared_folder(spark, "texts")
+    d = table(spark, sf, "documents").where(F.col("text").isNotNull())
+    d.select(F.col("source").alias("folder"), "text").write.partitionBy("folder").text(where)
+    lines = L.stretch_lines(O.read_stretches(spark, where, "part-*")).where(F.col("text") != "")
+    digest = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")
+    return lines.groupBy(F.regexp_extract("path", "folder=([^/]+)/", 1).alias("source")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.length("text").cast("long")).alias("chars"), F.sum(digest).alias("digest")
+    )
+
+
 # ------------------------------------------------------------------ symbol files
 
 
