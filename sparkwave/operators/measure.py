@@ -8,14 +8,16 @@ interpolated. A measurement that cannot be made is a row with ``error`` set.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import MISSING as NO_DEFAULT
 from dataclasses import astuple, dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwave.operators import samples as S
 from sparkwave.plans import chunks as C
-from sparkwave.plans.sizing import broadcast_if_small
+from sparkwave.plans.lineage import cut
+from sparkwave.plans.sizing import BROADCAST_ROWS, broadcast_if_small
 
 @dataclass(frozen=True)
 class Spec:
@@ -61,27 +63,92 @@ NO_WHEN = "the condition never occurred in the window"
 TOO_SHORT = "a measurement needs at least two points"
 
 
-def specs_from(df: DataFrame) -> list[Spec]:
-    """Read a table that a user wrote, one row per measurement."""
-    names = [f.name for f in fields(Spec)]
-    rows = df.select(*[n for n in names if n in df.columns]).collect()
-    return [Spec(**{k: v for k, v in r.asDict().items() if v is not None}) for r in rows]
-
-
 def needed_signals(specs: Iterable[Spec]) -> list[str]:
     """Signals that some measurement names; the only ones worth reading."""
     return sorted({s.lower() for spec in specs for s in (spec.sig, spec.other) if s})
 
 
-def capture(waves: DataFrame, specs: Iterable[Spec]) -> DataFrame:
-    return waves.where(F.lower("sig").isin(needed_signals(specs)))
+def capture(waves: DataFrame, specs: Iterable[Spec] | DataFrame) -> DataFrame:
+    """Samples of the signals that some measurement names; a table of measurements is joined, not read."""
+    if not isinstance(specs, DataFrame):
+        return waves.where(F.lower("sig").isin(needed_signals(specs)))
+    other = F.col("other") if "other" in specs.columns else F.lit(None).cast("string")
+    return _named(waves, specs.select(F.explode(F.array("sig", other)).alias("_key")))
+
+
+def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows whose signal is among ``names(_key)``."""
+    wanted = broadcast_if_small(names.select(F.lower("_key").alias("_key")).dropna().distinct())
+    return rows.join(wanted, F.lower(rows["sig"]) == wanted["_key"], "left_semi")
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """Measurements as rows ``(_n, s)``, with ``_n`` below ``count``.
+
+    The driver knows only how many there are and of which kinds. ``listed`` holds
+    them when they were given as a list, else None.
+    """
+
+    table: DataFrame
+    count: int
+    kinds: frozenset[str]
+    listed: tuple[Spec, ...] | None
+
 
+PAIR, FIND_AT, FIND_WHEN = "when pair", "find at", "find when"
 
-def _table(spark, specs: Sequence[Spec], role=lambda s: s.sig) -> DataFrame:
-    """``(_n, _key, s)``: the measurements as rows, numbered, under the signal they are read from."""
+
+def _kind(s: Column) -> Column:
+    """What a measurement needs; NULL for a function that is not known."""
+    func = s["func"]
+    return (
+        F.when((func == "find") & s["at"].isNotNull(), FIND_AT)
+        .when(func == "find", FIND_WHEN)
+        .when((func == "when") & _given(s["other"]) & s["level"].isNull(), PAIR)
+        .when(func.isin(*KNOWN), func)
+    )
+
+
+def _given(name: Column) -> Column:
+    return F.coalesce(name, F.lit("")) != ""
+
+
+def _plan(spark, specs: Sequence[Spec] | DataFrame) -> _Plan:
     inner = ", ".join(f"{n}: {t}" for n, t in SPEC_TYPES.items())
-    rows = [(k, (role(s) or "").lower(), _typed(s)) for k, s in enumerate(specs)]
-    return spark.createDataFrame(rows, f"_n long, _key string, s struct<{inner}>")
+    if isinstance(specs, DataFrame):
+        return _plan_of_table(specs)
+    listed = tuple(s if isinstance(s, Spec) else Spec(**s) for s in specs)
+    if any(s.nth < 1 or s.nth2 < 1 for s in listed):
+        raise ValueError("nth counts from 1")
+    rows = [(k, _typed(s)) for k, s in enumerate(listed)]
+    table = spark.createDataFrame(rows, f"_n long, s struct<{inner}>")
+    return _Plan(table, len(listed), frozenset(filter(None, map(_kind_of, listed))), listed)
+
+
+def _kind_of(s: Spec) -> str | None:
+    if s.func == "find":
+        return FIND_WHEN if s.at is None else FIND_AT
+    if s.func == "when" and s.other and s.level is None:
+        return PAIR
+    return s.func if s.func in KNOWN else None
+
+
+def _plan_of_table(df: DataFrame) -> _Plan:
+    """A table that a user wrote, one row per measurement; missing columns and NULLs take the defaults of ``Spec``."""
+    preset = {f.name: f.default for f in fields(Spec) if f.default is not NO_DEFAULT}
+    value = lambda n, t: F.coalesce(
+        (F.col(n) if n in df.columns else F.lit(None)).cast(t), F.lit(preset.get(n)).cast(t)
+    ).alias(n)
+    stored = cut(df.select(F.struct(*[value(n, t) for n, t in SPEC_TYPES.items()]).alias("s")))
+    s = F.col("s")
+    facts = stored.agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.least("s.nth", "s.nth2")).alias("least"), F.collect_set(_kind(s)).alias("kinds")
+    ).first()
+    if facts["n"] and facts["least"] < 1:
+        raise ValueError("nth counts from 1")
+    number = F.pmod(F.xxhash64("s"), F.lit(max(facts["n"], 1))).alias("_n")
+    return _Plan(stored.select(number, "s"), facts["n"], frozenset(facts["kinds"]), None)
 
 
 def _typed(spec: Spec) -> tuple:
@@ -89,9 +156,9 @@ def _typed(spec: Spec) -> tuple:
     return tuple(float(v) if t == "double" and v is not None else v for t, v in zip(SPEC_TYPES.values(), astuple(spec)))
 
 
-def _per_spec(rows: DataFrame, specs: Sequence[Spec], role=lambda s: s.sig) -> DataFrame:
-    """Rows of a signal repeated for each measurement of it."""
-    mine = broadcast_if_small(_table(rows.sparkSession, specs, role).drop("_n"))
+def _per_spec(rows: DataFrame, specs: DataFrame, role: Column) -> DataFrame:
+    """Rows of a signal repeated for each measurement that reads it in this role."""
+    mine = broadcast_if_small(specs.select(F.lower(role).alias("_key"), "s"))
     return rows.join(mine, F.lower(rows["sig"]) == mine["_key"]).drop("_key")
 
 
@@ -100,62 +167,48 @@ def measure(waves: DataFrame, specs: Sequence[Spec] | DataFrame, rows_per_chunk:
 
     Exactly one of ``value`` and ``error`` is set.
     """
-    if isinstance(specs, DataFrame):
-        specs = specs_from(specs)
-    specs = [s if isinstance(s, Spec) else Spec(**s) for s in specs]
-    if any(s.nth < 1 or s.nth2 < 1 for s in specs):
-        raise ValueError("nth counts from 1")
-    pairs = [s for s in specs if s.func == "when" and s.other and s.level is None]
-    used = capture(waves, specs)
-    if pairs:
-        used = used.unionByName(_differences(used, pairs), allowMissingColumns=True)
+    plan = _plan(waves.sparkSession, specs)
+    kind = _kind(F.col("s"))
+    used = capture(waves, plan.listed if plan.listed is not None else plan.table.select("s.sig", "s.other"))
+    if PAIR in plan.kinds:
+        used = used.unionByName(_differences(used, plan.table.where(kind == PAIR)), allowMissingColumns=True)
     rows, split = S.samples(used, rows_per_chunk=rows_per_chunk)
 
     parts = []
-    windowed = [s for s in specs if s.func in (*WINDOWED, *LAST) or (s.func == "find" and s.at is not None)]
-    if windowed:
-        parts.append(_aggregates(rows, windowed))
-    timed = [s for s in specs if s.func == "when" or (s.func == "find" and s.at is None)]
-    if timed:
-        parts.append(_when_find(rows, timed, split))
-    delays = [s for s in specs if s.func == "trig"]
-    if delays:
-        parts.append(_delays(rows, delays, split))
+    if plan.kinds & {*WINDOWED, *LAST, FIND_AT}:
+        parts.append(_aggregates(rows, plan.table.where(kind.isin(*WINDOWED, *LAST, FIND_AT)), plan.kinds))
+    if plan.kinds & {"when", PAIR, FIND_WHEN}:
+        parts.append(_when_find(rows, plan.table.where(kind.isin("when", PAIR, FIND_WHEN)), split, plan.kinds))
+    if "trig" in plan.kinds:
+        parts.append(_delays(rows, plan.table.where(kind == "trig"), split))
     found = parts[0] if parts else None
     for part in parts[1:]:
         found = found.unionByName(part)
-    return _with_errors(waves, specs, found)
+    return _with_errors(waves, plan, found)
 
 
-def _difference_name(spec: Spec) -> str:
-    return f"{spec.sig}-{spec.other}".lower()
+def _difference_name(s: Column) -> Column:
+    return F.lower(F.concat(s["sig"], F.lit("-"), s["other"]))
 
 
-def _differences(waves: DataFrame, pairs: Sequence[Spec]) -> DataFrame:
+def _differences(waves: DataFrame, pairs: DataFrame) -> DataFrame:
     """A minus B at the same row of the run, as a signal of its own."""
-    sides = sorted({x.lower() for p in pairs for x in (p.sig, p.other)})
-    named = {s: f"_s{n}" for n, s in enumerate(sides)}
-    wide = (
-        waves.where(F.lower("sig").isin(sides))
-        .groupBy("run", "i")
-        .agg(F.min("t").alias("t"), *[F.max(F.when(F.lower("sig") == s, F.col("v"))).alias(c) for s, c in named.items()])
-    )
-    unique = {_difference_name(p): p for p in pairs}
-    made = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("sig"),
-                (F.col(named[p.sig.lower()]) - F.col(named[p.other.lower()])).alias("v"),
-            )
-            for n, p in unique.items()
-        ]
+    s = F.col("s")
+    side = lambda name, sign: F.struct(F.lower(name).alias("_key"), F.lit(sign).alias("_sign"))
+    both = F.explode(F.array(side(s["sig"], 1), side(s["other"], -1))).alias("_e")
+    sides = broadcast_if_small(pairs.select(_difference_name(s).alias("_name"), both).select("_name", "_e.*").distinct())
+    of = lambda sign: F.max(F.when(F.col("_sign") == sign, F.col("v")))
+    made = (
+        waves.join(sides, F.lower(waves["sig"]) == sides["_key"])
+        .groupBy("run", F.col("_name").alias("sig"), "i")
+        .agg(F.min("t").alias("t"), (of(1) - of(-1)).alias("v"))
     )
-    return wide.select("run", "i", "t", F.inline(made)).where(F.col("v").isNotNull())
+    return made.where(F.col("v").isNotNull())
 
 
-def _aggregates(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
+def _aggregates(rows: DataFrame, specs: DataFrame, kinds: frozenset[str]) -> DataFrame:
     """All window aggregates, slopes, point reads and last values in one group-by."""
-    r = _per_spec(rows, specs)
+    r = _per_spec(rows, specs, F.col("s.sig"))
     low, high, t, v = F.col("s.t_from"), F.col("s.t_to"), F.col("t"), F.col("v")
     in_window = S.touches_window(low, high)
     inside = (
@@ -171,7 +224,6 @@ def _aggregates(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     seg = F.when(F.col("x_next").isNotNull(), F.struct("t", "i", "v", "x_next", "v_next"))
     sample = F.struct("t", "i", "v")
     # plain numbers aggregate by hash; rows as values need a sort, so only if asked for
-    funcs = {s.func for s in specs}
     numbers = [
         F.max("s.t_from").alias("t_from"),
         F.max("s.t_to").alias("t_to"),
@@ -184,9 +236,9 @@ def _aggregates(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
         F.min(F.when(inside, v)).alias("lo"),
         F.max(F.when(inside, v)).alias("hi"),
     ]
-    if funcs & {"deriv", "find"}:
+    if kinds & {"deriv", FIND_AT}:
         numbers += [F.max(F.when(t < x, seg)).alias("seg"), F.min(seg).alias("first_seg")]
-    if funcs & set(LAST):
+    if kinds & set(LAST):
         near = F.min_by("v", F.struct(F.abs(t - F.col("s.at")), F.col("i")))
         numbers += [F.max(sample).alias("last"), near.alias("near")]
     g = r.groupBy("run", F.col("s.name").alias("name"), F.col("s.func").alias("func")).agg(*numbers)
@@ -204,14 +256,14 @@ def _aggregates(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
         .when(func == "min", F.col("lo"))
         .when(func == "pp", F.col("hi") - F.col("lo"))
     )
-    if funcs & {"deriv", "find"}:
+    if kinds & {"deriv", FIND_AT}:
         hit = F.coalesce("seg", "first_seg")
         slope = F.when(
             hit["x_next"] > hit["t"], (hit["v_next"] - hit["v"]) / (hit["x_next"] - hit["t"])
         ).otherwise(0.0)
         read = S.lerp(F.col("at"), hit["t"], hit["v"], hit["x_next"], hit["v_next"])
         value = value.when(func == "deriv", slope).when(func == "find", read)
-    if funcs & set(LAST):
+    if kinds & set(LAST):
         value = value.when(func == "final", F.col("last.v")).when(func == "nearest", F.col("near"))
     free = func.isin(*LAST)
     usable = free | ((F.col("n") >= 2) & good)
@@ -224,7 +276,7 @@ def _aggregates(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     return g.select("run", "name", "func", F.when(usable & error.isNull(), value).alias("value"), error.alias("error"))
 
 
-def _hits(rows: DataFrame, specs: Sequence[Spec], split: C.Chunks, signal, level, edge, nth, name: str) -> DataFrame:
+def _hits(rows: DataFrame, specs: DataFrame, split: C.Chunks, signal: Column, level, edge, nth, name: str) -> DataFrame:
     """The wanted crossing of each (run, measurement), with the window's verdict."""
     r = _per_spec(rows, specs, signal)
     low, high = F.col("s.t_from"), F.col("s.t_to")
@@ -241,7 +293,7 @@ def _hits(rows: DataFrame, specs: Sequence[Spec], split: C.Chunks, signal, level
     return hit.select("run", "name", F.col("x").alias(name))
 
 
-def _windows(rows: DataFrame, specs: Sequence[Spec], signal) -> DataFrame:
+def _windows(rows: DataFrame, specs: DataFrame, signal: Column) -> DataFrame:
     """Whether the window of each (run, measurement) holds data."""
     r = _per_spec(rows, specs, signal)
     g = r.groupBy("run", F.col("s.name").alias("name")).agg(
@@ -253,25 +305,27 @@ def _windows(rows: DataFrame, specs: Sequence[Spec], signal) -> DataFrame:
     return g.select("run", "name", "s", "n", good.alias("good"))
 
 
-def _crossed_signal(s: Spec) -> str:
-    if s.func == "find":
-        return s.other or s.sig
-    return _difference_name(s) if s.other and s.level is None else s.sig
+def _crossed_signal(s: Column) -> Column:
+    kind = _kind(s)
+    return (
+        F.when(kind == FIND_WHEN, F.coalesce(F.nullif(s["other"], F.lit("")), s["sig"]))
+        .when(kind == PAIR, _difference_name(s))
+        .otherwise(s["sig"])
+    )
 
 
-def _when_find(rows: DataFrame, specs: Sequence[Spec], split: C.Chunks) -> DataFrame:
+def _when_find(rows: DataFrame, specs: DataFrame, split: C.Chunks, kinds: frozenset[str]) -> DataFrame:
     level = F.coalesce(F.col("s.level"), F.lit(0.0))
-    hit = _hits(rows, specs, split, _crossed_signal, level, F.col("s.edge"), F.col("s.nth"), "x")
-    seen = _windows(rows, specs, _crossed_signal).join(hit, ["run", "name"], "left")
-    when = seen.where(F.col("s.func") == "when").select("run", "name", "s", "n", "good", F.col("x").alias("value"))
-    finds = [s for s in specs if s.func == "find"]
-    out = when
-    if finds:
+    crossed = _crossed_signal(F.col("s"))
+    hit = _hits(rows, specs, split, crossed, level, F.col("s.edge"), F.col("s.nth"), "x")
+    seen = _windows(rows, specs, crossed).join(hit, ["run", "name"], "left")
+    out = seen.where(F.col("s.func") == "when").select("run", "name", "s", "n", "good", F.col("x").alias("value"))
+    if FIND_WHEN in kinds:
         asked = seen.where(F.col("s.func") == "find")
         points = asked.where(F.col("x").isNotNull()).select(
             "run", F.lower(F.col("s.sig")).alias("sig"), "name", "x"
         )
-        targets = rows.where(F.lower("sig").isin(sorted({s.sig.lower() for s in finds})))
+        targets = _named(rows, specs.where(_kind(F.col("s")) == FIND_WHEN).select(F.col("s.sig").alias("_key")))
         read = read_at(targets.withColumn("sig", F.lower("sig")).drop(C.CHUNK), points, split)
         got = read.select("run", "name", F.col("v").alias("value"))
         out = out.unionByName(
@@ -288,15 +342,14 @@ def _when_find(rows: DataFrame, specs: Sequence[Spec], split: C.Chunks) -> DataF
     )
 
 
-def _delays(rows: DataFrame, specs: Sequence[Spec], split: C.Chunks) -> DataFrame:
+def _delays(rows: DataFrame, specs: DataFrame, split: C.Chunks) -> DataFrame:
     """Second crossing minus first; either may be missing, and says so."""
-    zero = F.lit(0.0)
-    start = _hits(rows, specs, split, lambda s: s.sig, F.coalesce(F.col("s.level"), zero), F.col("s.edge"), F.col("s.nth"), "x0")
-    stop = _hits(
-        rows, specs, split, lambda s: s.other, F.coalesce(F.col("s.level2"), zero), F.col("s.edge2"), F.col("s.nth2"), "x1"
-    )
+    level = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    first, second = F.col("s.sig"), F.col("s.other")
+    start = _hits(rows, specs, split, first, level("s.level"), F.col("s.edge"), F.col("s.nth"), "x0")
+    stop = _hits(rows, specs, split, second, level("s.level2"), F.col("s.edge2"), F.col("s.nth2"), "x1")
     both = (
-        _windows(rows, specs, lambda s: s.sig)
+        _windows(rows, specs, first)
         .join(start, ["run", "name"], "left")
         .join(stop, ["run", "name"], "left")
     )
@@ -312,21 +365,37 @@ def _delays(rows: DataFrame, specs: Sequence[Spec], split: C.Chunks) -> DataFram
     )
 
 
-def _with_errors(waves: DataFrame, specs: Sequence[Spec], found: DataFrame | None) -> DataFrame:
-    """One row per run and measurement, whatever happened."""
-    have = waves.groupBy("run").agg(F.collect_set(F.when(F.lower("sig").isin(needed_signals(specs)), F.lower("sig"))).alias("_sigs"))
+def _asked(waves: DataFrame, plan: _Plan) -> tuple[DataFrame, Column, Column]:
+    """``(run, s, …)`` for every run and measurement, and whether the run has its two signals."""
     # every run asks for every measurement: the result has that many rows
-    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(specs) - 1).cast("long"))).alias("_n")
-    listed = broadcast_if_small(_table(waves.sparkSession, specs).drop("_key"))
-    asked = have.select("run", "_sigs", numbers).join(listed, "_n").select("run", "_sigs", "s")
-    knows = lambda c: c.isNull() | F.array_contains("_sigs", F.lower(c))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(plan.count, 1) - 1).cast("long"))).alias("_n")
+    listed = broadcast_if_small(plan.table)
+    if plan.listed is not None:
+        low = F.lower("sig")
+        have = waves.groupBy("run").agg(F.collect_set(F.when(low.isin(needed_signals(plan.listed)), low)).alias("_sigs"))
+        asked = have.select("run", "_sigs", numbers).join(listed, "_n").drop("_n")
+        knows = lambda c: c.isNull() | F.array_contains("_sigs", F.lower(c))
+        return asked, knows(F.col("s.sig")), knows(F.col("s.other"))
+    # a run of a large table may have many signals: they are joined, never gathered
+    have = capture(waves, plan.table.select("s.sig", "s.other")).select("run", F.lower("sig").alias("_key")).distinct()
+    asked = waves.select("run").distinct().select("run", numbers).join(listed, "_n").drop("_n")
+    for name, flag in (("sig", "_a"), ("other", "_b")):
+        side = have.withColumn(flag, F.lit(True))
+        key = F.lower(F.col(f"s.{name}"))
+        asked = asked.withColumn("_key", key).join(side, ["run", "_key"], "left").drop("_key")
+    return asked, F.col("s.sig").isNull() | F.col("_a").isNotNull(), F.col("s.other").isNull() | F.col("_b").isNotNull()
+
+
+def _with_errors(waves: DataFrame, plan: _Plan, found: DataFrame | None) -> DataFrame:
+    """One row per run and measurement, whatever happened."""
+    asked, has_sig, has_other = _asked(waves, plan)
     status = asked.select(
         "run",
         F.col("s.name").alias("name"),
         F.col("s.func").alias("func"),
         F.when(~F.col("s.func").isin(*KNOWN), F.concat(F.lit("measurement not implemented: "), F.col("s.func")))
-        .when(~knows(F.col("s.sig")), F.concat(F.lit("unknown signal: "), F.col("s.sig")))
-        .when(~knows(F.col("s.other")), F.concat(F.lit("unknown signal: "), F.col("s.other")))
+        .when(~has_sig, F.concat(F.lit("unknown signal: "), F.col("s.sig")))
+        .when(~has_other, F.concat(F.lit("unknown signal: "), F.col("s.other")))
         .alias("_bad"),
     )
     if found is None:
@@ -385,21 +454,71 @@ def nearest(
     waves: DataFrame, points: DataFrame, keys: Sequence[str] = S.KEYS, x: str = "x",
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
-    """Value of the sample nearest to each point; of equals the first in order."""
+    """Value of the sample nearest to each point; of equals the first in order. A point of NULL reads NULL."""
     one = waves.groupBy(*keys, "t").agg(F.min(F.struct("i", "v")).alias("_f"))
     one = one.select(*keys, "t", F.col("_f.i").alias("i"), F.col("_f.v").alias("v"))
     split = _split_for(one, points, keys, x, rows_per_chunk)
     rows = C.neighbours(one, keys, "t", "i", "v", split).drop(C.CHUNK)
     hit = C.last_known(rows, points, keys, "t", "i", x, ["v", "x_next", "v_next"], split)
     h = F.col("_hit")
-    left = h["x_next"].isNull() | (F.abs(F.col(x) - h["_x"]) <= F.abs(h["x_next"] - F.col(x)))
+    closer = F.abs(F.col(x) - h["_x"]) <= F.abs(h["x_next"] - F.col(x))
+    left = F.when(F.col(x).isNotNull(), h["x_next"].isNull() | closer)
     return hit.select(
         *[c for c in hit.columns if c != "_hit"],
-        F.when(left, h["_x"]).otherwise(h["x_next"]).alias("t_near"),
-        F.when(left, h["v"]).otherwise(h["v_next"]).alias("v"),
+        F.when(left, h["_x"]).when(~left, h["x_next"]).alias("t_near"),
+        F.when(left, h["v"]).when(~left, h["v_next"]).alias("v"),
     )
 
 
+def _gap(xs: Column, t: Column, most: int) -> Column:
+    """How many of the sorted ``xs`` (at most ``most``) are not above ``t``: halving steps, no loop over the points."""
+    steps = F.lit([1 << b for b in reversed(range(most.bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(xs, at + step - 1) <= t, at + step).otherwise(at)
+    )
+
+
+def _around(waves: DataFrame, points: DataFrame, keys: Sequence[str], x: str, keep: int, ties: str) -> DataFrame | None:
+    """The ``keep`` first and last samples between any two neighbouring points of a key; None if points are many.
+
+    The points are copied to the tasks. Each task keeps those few samples of its own
+    rows before anything moves, so the samples are neither shuffled nor sorted as a whole.
+    Of samples at one instant the last in order comes last, or with ``ties="first"`` the first.
+    """
+    few = points.select(*keys, F.col(x).cast("double").alias("_p"))
+    most = few.limit(BROADCAST_ROWS + 1).count()
+    if most > BROADCAST_ROWS:
+        return None
+    # at most BROADCAST_ROWS points, so neither an array nor the copied table is larger
+    asked = few.groupBy(*keys).agg(F.array_sort(F.collect_set("_p")).alias("_xs"))
+    asked = F.broadcast(asked.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], "_xs"))
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & waves[k].eqNullSafe(asked[f"_k{n}"])
+    own = [*keys, "t", "i", "v"]
+    placed = waves.join(asked, same).select(*own, _gap(F.col("_xs"), F.col("t"), most).alias("_gap"))
+    part = Window.partitionBy(*keys, "_gap")
+    last = F.desc("i") if ties == "last" else F.asc("i")
+    ends = [placed.withColumn("_r", F.row_number().over(part.orderBy(*o))).where(F.col("_r") <= keep) for o in (["t", "i"], [F.desc("t"), last])]
+    return ends[0].unionByName(ends[1]).select(*own).distinct()
+
+
+def value_at_few(waves: DataFrame, points: DataFrame, keys: Sequence[str] = S.KEYS, x: str = "x") -> DataFrame:
+    """``value_at`` for few points on long waves: only samples next to a point move.
+
+    Two samples at each end of a gap are enough for every segment that is read, those
+    beyond the data included. Above ``BROADCAST_ROWS`` points it is ``value_at``.
+    """
+    near = _around(waves, points, keys, x, 2, "last")
+    return value_at(waves if near is None else near, points, keys, x)
+
+
+def nearest_few(waves: DataFrame, points: DataFrame, keys: Sequence[str] = S.KEYS, x: str = "x") -> DataFrame:
+    """``nearest`` for few points on long waves, as ``value_at_few``."""
+    near = _around(waves, points, keys, x, 1, "first")
+    return nearest(waves if near is None else near, points, keys, x)
+
+
 # ------------------------------------------------------------------ single measurements
 
 

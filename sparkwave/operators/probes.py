@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkwave.functions.names import GROUND_NAMES, is_ground
 from sparkwave.functions.scalar import _c
+from sparkwave.plans.lineage import cut
 from sparkwave.plans.sizing import broadcast_if_small
 
 
@@ -30,27 +31,25 @@ class Probe:
 TYPES = {"id": "string", "kind": "string", "target": "string", "target2": "string", "label": "string", "enabled": "boolean"}
 
 
-def probes_from(df: DataFrame) -> list[Probe]:
-    """Read a table that a user wrote, one row per probe."""
-    names = [n for n in TYPES if n in df.columns]
-    rows = df.select(*names).collect()
-    return [Probe(**{k: v for k, v in r.asDict().items() if v is not None}) for r in rows]
+def _table(spark, probes: Sequence[Probe] | DataFrame) -> DataFrame:
+    """Probes as rows, one per probe; a table that a user wrote stays one and is not read by the driver."""
+    if not isinstance(probes, DataFrame):
+        return spark.createDataFrame([astuple(p) for p in probes], ", ".join(f"{n} {t}" for n, t in TYPES.items()))
+    preset = {"kind": "voltage", "enabled": True}
+    value = lambda n, t: F.coalesce(
+        (F.col(n) if n in probes.columns else F.lit(None)).cast(t), F.lit(preset.get(n)).cast(t)
+    ).alias(n)
+    return probes.select(*[value(n, t) for n, t in TYPES.items()])
 
 
-def _list(probes) -> list[Probe]:
-    return probes_from(probes) if isinstance(probes, DataFrame) else list(probes)
-
-
-def _grounded(name: str | None) -> bool:
-    return str(name).lower() in GROUND_NAMES
-
-
-def _terms(p: Probe) -> list[tuple[str, int]]:
+def _terms() -> Column:
     """Signals a probe adds up, with their sign; ground adds nothing."""
-    if p.kind == "current":
-        return [(f"i({p.target})".lower(), 1)]
-    sides = [(p.target, 1), (p.target2, -1)] if p.kind == "differential" else [(p.target, 1)]
-    return [(str(n).lower(), s) for n, s in sides if not _grounded(n)]
+    kind, name = F.col("kind"), lambda c: F.lower(F.coalesce(c, F.lit("none")))
+    term = lambda c, sign: F.struct(name(c).alias("_key"), F.lit(sign).alias("sign"))
+    branch = F.format_string("i(%s)", F.coalesce("target", F.lit("none")))
+    nodes = F.array(term(F.col("target"), 1), F.when(kind == "differential", term(F.col("target2"), -1)))
+    live = F.filter(nodes, lambda t: t.isNotNull() & ~t["_key"].isin(*GROUND_NAMES))
+    return F.when(kind == "current", F.array(term(branch, 1))).otherwise(live)
 
 
 def probe_label(kind="kind", target="target", target2="target2") -> Column:
@@ -62,23 +61,18 @@ def probe_label(kind="kind", target="target", target2="target2") -> Column:
     )
 
 
-def _unit(p: Probe) -> str:
-    return "A" if p.kind == "current" else "V"
-
-
 def resolve_probes(waves: DataFrame, probes: Sequence[Probe] | DataFrame) -> DataFrame:
     """``(run, id, i, t, v, unit)``: the reading of each probe at each row of its run."""
-    probes = _list(probes)
+    unit = F.when(F.col("kind") == "current", "A").otherwise("V").alias("unit")
+    asked = _table(waves.sparkSession, probes).select("id", unit, _terms().alias("_terms"))
+    sizes = [r[0] for r in asked.select(F.size("_terms")).distinct().collect()]  # at most 0, 1 and 2
     parts = []
-    single = [p for p in probes if len(_terms(p)) == 1]
-    double = [p for p in probes if len(_terms(p)) == 2]
-    ground = [p for p in probes if not _terms(p)]
-    if single:
-        tagged = _tag(waves, single)
+    if 1 in sizes:
+        tagged = _tag(waves, asked.where(F.size("_terms") == 1))
         parts.append(tagged.select("run", "id", "i", "t", (F.col("v") * F.col("sign")).alias("v"), "unit"))
-    if double:
+    if 2 in sizes:
         pair = (
-            _tag(waves, double)
+            _tag(waves, asked.where(F.size("_terms") == 2))
             .groupBy("run", "id", "i")
             .agg(
                 F.min("t").alias("t"),
@@ -90,43 +84,50 @@ def resolve_probes(waves: DataFrame, probes: Sequence[Probe] | DataFrame) -> Dat
             .where(F.col("_sides") == 2)
         )
         parts.append(pair.select("run", "id", "i", "t", (F.col("_a") - F.col("_b")).alias("v"), "unit"))
-    if ground:
-        ids = F.explode(F.lit([p.id for p in ground])).alias("id")
+    if 0 in sizes:
+        grounded = asked.where(F.size("_terms") == 0).select("id")
         steps = waves.groupBy("run", "i").agg(F.min("t").alias("t"))
-        parts.append(steps.select("run", ids, "i", "t", F.lit(0.0).alias("v"), F.lit("V").alias("unit")))
+        parts.append(
+            _with_each(steps, grounded).select("run", "id", "i", "t", F.lit(0.0).alias("v"), F.lit("V").alias("unit"))
+        )
+    if not parts:
+        return waves.limit(0).select("run", F.lit("").alias("id"), "i", "t", "v", F.lit("").alias("unit"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _tag(waves: DataFrame, probes: Sequence[Probe]) -> DataFrame:
-    terms = [(key, p.id, sign, _unit(p)) for p in probes for key, sign in _terms(p)]
-    mine = broadcast_if_small(waves.sparkSession.createDataFrame(terms, "_key string, id string, sign int, unit string"))
+def _tag(waves: DataFrame, asked: DataFrame) -> DataFrame:
+    mine = broadcast_if_small(asked.select("id", "unit", F.inline("_terms")))
     return waves.join(mine, F.lower(waves["sig"]) == mine["_key"]).select("run", "i", "t", "v", "id", "sign", "unit")
 
 
+def _with_each(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every row with every probe, which is what the result holds; met by number, so tasks share the work."""
+    stored = cut(asked)
+    count = max(stored.count(), 1)
+    names = [F.col(f"`{c}`") for c in stored.columns]
+    numbered = broadcast_if_small(stored.withColumn("_n", F.pmod(F.xxhash64(*names), F.lit(count))))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("_n")
+    return rows.select("*", every).join(numbered, "_n").drop("_n")
+
+
 def probe_status(waves: DataFrame, probes: Sequence[Probe] | DataFrame) -> DataFrame:
     """``(run, id, label, ok, reason)`` for every run and probe."""
-    probes = _list(probes)
-    wanted = sorted({key for p in probes for key, _ in _terms(p)})
-    low = F.lower("sig")
-    have = waves.groupBy("run").agg(F.collect_set(F.when(low.isin(wanted), low)).alias("_have"))
-    # every run reports on every probe: the result has that many rows
-    listed = [(k, *astuple(p)) for k, p in enumerate(probes)]
-    table = waves.sparkSession.createDataFrame(listed, ", ".join(["_n long", *(f"{n} {t}" for n, t in TYPES.items())]))
-    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(probes) - 1).cast("long"))).alias("_n")
-    rows = have.select("run", "_have", numbers).join(broadcast_if_small(table), "_n").drop("_n")
-    there = lambda name: F.array_contains("_have", F.lower(name))
+    rows = _with_each(waves.select("run").distinct(), _table(waves.sparkSession, probes))
+    have = waves.select("run", F.lower("sig").alias("_key")).distinct()
     a, b = F.col("target"), F.col("target2")
+    branch = F.concat(F.lit("i("), a, F.lit(")"))
+    for name, flag in ((F.when(F.col("kind") == "current", branch).otherwise(a), "_a"), (b, "_b")):
+        side = have.withColumn(flag, F.lit(True))
+        rows = rows.withColumn("_key", F.lower(name)).join(side, ["run", "_key"], "left").drop("_key")
+    lacks = lambda flag: F.col(flag).isNull()
     gone = lambda n: F.concat(F.lit("no such net: "), n)
     reason = (
-        F.when(
-            F.col("kind") == "current",
-            F.when(~there(F.concat(F.lit("i("), a, F.lit(")"))), F.concat(F.lit("no branch current: "), a)),
-        )
-        .when(~is_ground(a) & ~there(a), gone(a))
-        .when((F.col("kind") == "differential") & ~is_ground(b) & ~there(b), gone(b))
+        F.when(F.col("kind") == "current", F.when(lacks("_a"), F.concat(F.lit("no branch current: "), a)))
+        .when(~is_ground(a) & lacks("_a"), gone(a))
+        .when((F.col("kind") == "differential") & ~is_ground(b) & lacks("_b"), gone(b))
     )
     label = F.coalesce("label", probe_label())
     return rows.select("run", "id", label.alias("label"), reason.isNull().alias("ok"), reason.alias("reason"))

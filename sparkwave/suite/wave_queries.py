@@ -310,6 +310,31 @@ def win9(spark, sf):
     return M.measure(waves(spark, sf), specs)
 
 
+@query(
+    "win9_spec_table",
+    PRE + """, u AS (SELECT user_id, event_id AS i, t, value AS v FROM events JOIN (SELECT i, t FROM w) x ON x.i = event_id),
+    b AS (SELECT user_id, count(*) AS n, min(t) AS t0, max(t) AS tn, max(v) AS hi, min(v) AS lo, arg_max(v, (t, i)) AS final FROM u GROUP BY user_id),
+    c AS (SELECT c_name AS name, 'U' || c_custkey AS sig, c_custkey % 4 AS k, b.* FROM customer LEFT JOIN b ON user_id = c_custkey)
+    SELECT name, CASE k WHEN 0 THEN 'max' WHEN 1 THEN 'pp' WHEN 2 THEN 'final' ELSE 'median' END AS func,
+      CASE WHEN k = 2 THEN final WHEN k < 2 AND n >= 2 AND tn > t0 THEN CASE k WHEN 0 THEN hi ELSE round(hi - lo, 6) END END AS value,
+      CASE WHEN k = 3 THEN 'measurement not implemented: median' WHEN n IS NULL THEN 'unknown signal: ' || sig
+        WHEN k < 2 AND n < 2 THEN 'a measurement needs at least two points' WHEN k < 2 AND NOT tn > t0 THEN 'no samples between the window''s ends' END AS error FROM c""",
+)
+def win9_table(spark, sf):
+    """A measurement per customer, each of a signal of its own; the table is joined, never read by the driver."""
+    e = table(spark, sf, "events")
+    w = W.waves_from_events(
+        e.withColumn("sig", F.concat(F.lit("u"), F.col("user_id").cast("string"))), "ts", "sig", "value", F.lit(1).cast("long"), "event_id"
+    )
+    k = F.col("c_custkey") % 4
+    specs = table(spark, sf, "customer").select(
+        F.col("c_name").alias("name"),
+        F.when(k == 0, "max").when(k == 1, "pp").when(k == 2, "final").otherwise("median").alias("func"),
+        F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("sig"),
+    )
+    return M.measure(w, specs).select("name", "func", rounded("value"), "error")
+
+
 @query(
     "flt1_window",
     PRE + f""", b AS (SELECT run, sig, min(t) AS t0, max(t) AS tn FROM w GROUP BY run, sig)
@@ -379,6 +404,39 @@ def join2(spark, sf):
     return M.nearest(w, _points(w)).select("run", "sig", "pid", "v")
 
 
+FEW = ", p AS (SELECT run, unnest(['click', 'error', 'purchase', 'signup', 'view']) AS sig, n_nationkey AS pid, n_nationkey * 110000.0 + run - 5000 AS x FROM nation, (SELECT DISTINCT run FROM w))"
+
+
+def _few_points(spark, sf):
+    """An instant per nation, run and signal; some lie outside the data."""
+    run = F.explode(F.array(*[F.lit(k).cast("long") for k in range(8)])).alias("run")
+    sig = F.explode(F.array(*[F.lit(s) for s in SIGNALS])).alias("sig")
+    n = table(spark, sf, "nation").select("n_nationkey", run).select("n_nationkey", "run", sig)
+    x = F.col("n_nationkey") * F.lit(110000.0) + F.col("run") - 5000
+    return n.select("run", "sig", F.col("n_nationkey").alias("pid"), x.alias("x"))
+
+
+@query(
+    "join1_value_at_few",
+    PRE + FEW + """, g AS (SELECT run, sig, t, v, t1, v1 FROM s WHERE t1 IS NOT NULL),
+    h AS (SELECT p.run, p.sig, pid, x, max(CASE WHEN t < x THEN (t, v, t1, v1) END) AS hit, min((t, v, t1, v1)) AS first FROM p JOIN g USING (run, sig) GROUP BY ALL),
+    k AS (SELECT run, sig, pid, x, unnest(coalesce(hit, first), recursive := FALSE) AS q FROM (SELECT * REPLACE ([hit] AS hit, [first] AS first) FROM h WHERE hit IS NOT NULL UNION ALL SELECT * REPLACE ([first] AS hit, [first] AS first) FROM h WHERE hit IS NULL))
+    SELECT run, sig, CAST(pid AS INTEGER) AS pid, round(q[2] + (q[4] - q[2]) * (x - q[1]) / (q[3] - q[1]), 3) AS v, x < q[1] OR x > q[3] AS extrapolated FROM k""",
+)
+def join1_few(spark, sf):
+    points = _few_points(spark, sf)
+    return M.value_at_few(waves(spark, sf), points).select("run", "sig", F.col("pid").cast("int").alias("pid"), rounded("v", 3), "extrapolated")
+
+
+@query(
+    "join2_nearest_few",
+    PRE + FEW + """SELECT p.run, p.sig, CAST(pid AS INTEGER) AS pid, arg_min(v, (abs(t - x), i)) AS v FROM p JOIN w USING (run, sig) GROUP BY ALL""",
+)
+def join2_few(spark, sf):
+    points = _few_points(spark, sf)
+    return M.nearest_few(waves(spark, sf), points).select("run", "sig", F.col("pid").cast("int").alias("pid"), "v")
+
+
 SHIFTED = ", b AS (SELECT run, sig, i, t + 5 AS t, v * (1 + (i % 7) * 0.001) AS v FROM w)"
 DIFFED = PRE + SHIFTED + """, l AS (SELECT b.run, b.sig, b.i, b.t AS x, b.v AS vb, w.t AS tl, w.v AS vl FROM b ASOF LEFT JOIN w ON b.run = w.run AND b.sig = w.sig AND b.t > w.t),
 r AS (SELECT l.*, w.t AS tr, w.v AS vr FROM l ASOF LEFT JOIN w ON l.run = w.run AND l.sig = w.sig AND l.x <= w.t),
@@ -492,6 +550,37 @@ def prj1(spark, sf):
     return probes.resolve_probes(two_signals(spark, sf), PROBES).select("run", "id", "i", rounded("t"), rounded("v"), "unit")
 
 
+@query(
+    "prj1_probe_table",
+    PRE2 + """SELECT run, n_name AS id, i, CASE n_nationkey % 4 WHEN 0 THEN "out" WHEN 1 THEN round("out" - ref, 6) WHEN 2 THEN ref ELSE 0.0 END AS v, 'V' AS unit FROM ww, nation""",
+)
+def prj1_table(spark, sf):
+    """Probes that come as a table: a voltage, a difference, one against ground, and ground itself."""
+    k = F.col("n_nationkey") % 4
+    p = table(spark, sf, "nation").select(
+        F.col("n_name").alias("id"),
+        F.when(k.isin(1, 2), "differential").alias("kind"),
+        F.when(k == 3, "GND").when(k == 2, "Ref").otherwise("OUT").alias("target"),
+        F.when(k == 1, "ref").when(k == 2, "0").alias("target2"),
+    )
+    return probes.resolve_probes(two_signals(spark, sf), p).select("run", "id", "i", rounded("v"), "unit")
+
+
+@query(
+    "prj4_probe_table_status",
+    PRE2 + """SELECT run, s_name AS id, 'I(' || s_name || ')' AS label, FALSE AS ok, 'no branch current: ' || s_name AS reason FROM supplier, (SELECT DISTINCT run FROM ww) WHERE s_nationkey % 3 = 0
+    UNION ALL SELECT run, s_name, 'V(out)', TRUE, NULL FROM supplier, (SELECT DISTINCT run FROM ww) WHERE s_nationkey % 3 = 1
+    UNION ALL SELECT run, s_name, 'V(out,' || s_name || ')', FALSE, 'no such net: ' || s_name FROM supplier, (SELECT DISTINCT run FROM ww) WHERE s_nationkey % 3 = 2""",
+)
+def prj4_table(spark, sf):
+    k = F.col("s_nationkey") % 3
+    p = table(spark, sf, "supplier").select(
+        F.col("s_name").alias("id"), F.when(k == 0, "current").when(k == 2, "differential").alias("kind"),
+        F.when(k == 0, F.col("s_name")).otherwise("out").alias("target"), F.col("s_name").alias("target2"),
+    )
+    return probes.probe_status(two_signals(spark, sf), p)
+
+
 @query(
     "prj3_prj5_current_probe",
     PRE2 + """SELECT run, 'c1' AS id, i, "out" AS v, 'A' AS unit FROM ww""",
