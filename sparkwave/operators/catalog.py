@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwave.functions import names as N
 from sparkwave.functions.scalar import _c
 from sparkwave.operators import lines as L
 from sparkwave.plans import chunks as C
-from sparkwave.plans.lineage import cut
+from sparkwave.plans.lineage import cut, discard
 
 PART_NOTE = "Third-party card, used verbatim and not validated."
 
@@ -211,11 +211,51 @@ def search_names(defs: DataFrame, q: str, limit: int = 50, by_length: bool = Tru
     """Names containing ``q``: exact, then prefix, then the rest; shorter first."""
     q = q.strip().lower()
     found = defs.select(F.lower("name").alias("name")).where(F.contains(F.col("name"), F.lit(q)) & F.lit(q != "")).distinct()
+    return _best_hits(found, q, limit, by_length)
+
+
+def _best_hits(found: DataFrame, q: str, limit: int, by_length: bool) -> DataFrame:
     rank = F.when(F.col("name") == q, 0).when(F.startswith(F.col("name"), F.lit(q)), 1).otherwise(2)
     order = ["rank", *([F.length("name")] if by_length else []), "name"]
     return found.withColumn("rank", rank).orderBy(*order).limit(limit)
 
 
+#: Letters of a piece, and folders that the pieces are dealt to.
+GRAM, GRAM_PARTS = 3, 256
+
+
+def _gram_part(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_PARTS)).cast("int")
+
+
+def write_name_index(defs: DataFrame, folder: str) -> None:
+    """The distinct names, and each three-letter piece with every name that has it, by folders of pieces."""
+    names = cut(defs.select(F.lower("name").alias("name")).dropna().distinct())
+    names.write.parquet(f"{folder}/names")
+    at = F.sequence(F.lit(1), F.length("name") - (GRAM - 1))
+    own = F.array_distinct(F.transform(at, lambda p: F.substring(F.col("name"), p, F.lit(GRAM))))
+    grams = names.where(F.length("name") >= GRAM).select(F.explode(own).alias("gram"), "name")
+    # by piece and name, so that a piece in many names is more than one task
+    placed = grams.withColumn("part", _gram_part(F.col("gram"))).repartitionByRange("part", "gram", "name")
+    placed.sortWithinPartitions("part", "gram", "name").write.partitionBy("part").parquet(f"{folder}/grams")
+    discard(names)
+
+
+def search_index(spark: SparkSession, folder: str, q: str, limit: int = 50, by_length: bool = True) -> DataFrame:
+    """``search_names`` from a written index: only the pieces of ``q`` are read; the hits are then compared whole.
+
+    A query under three letters has no piece and scans the distinct names.
+    """
+    q = q.strip().lower()
+    if len(q) < GRAM:
+        return search_names(spark.read.parquet(f"{folder}/names"), q, limit, by_length)
+    wanted = sorted({q[k : k + GRAM] for k in range(len(q) - GRAM + 1)})
+    index = spark.read.schema("gram string, name string, part int").parquet(f"{folder}/grams")
+    mine = index.where(F.col("part").isin(*[_gram_part(F.lit(g)) for g in wanted]) & F.col("gram").isin(wanted))
+    met = mine.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(wanted))
+    return _best_hits(met.where(F.contains(F.col("name"), F.lit(q))).select("name"), q, limit, by_length)
+
+
 def search_paths(defs: DataFrame, q: str, limit: int = 50, rows_per_chunk: int | None = None) -> DataFrame:
     """``(name, rank, place, path)``: the hits of ``search_names`` with their paths, best source first."""
     hits = F.broadcast(search_names(defs, q, limit))  # at most ``limit`` rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -66,6 +67,28 @@ def remove(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file that is not there yet; False when someone else has made it."""
+    files, where = _file_system(spark, path)
+    try:
+        out = files.create(where, False)
+    except Py4JJavaError as failed:
+        if files.exists(where):
+            return False
+        raise failed
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def names_in(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Names in a folder with the time of their last change (milliseconds); none when it is not there."""
+    files, path = _file_system(spark, folder)
+    return sorted((s.getPath().getName(), s.getModificationTime()) for s in files.globStatus(path.suffix("/*")) or [])
+
+
 def written_numbers(spark: SparkSession, folder: str, name: str = "batch") -> list[int]:
     """The numbers of the completely written tables ``name=<number>`` in a folder, in order. Only names are read."""
     files, path = _file_system(spark, folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkwave.functions.names import safe_path
 from sparkwave.functions.scalar import _c
+from sparkwave.plans.lineage import claim, names_in, remove
 from sparkwave.plans.sizing import broadcast_if_small
 
 # Where windows-1252 differs from ISO-8859-1.
@@ -99,23 +101,51 @@ def split_failed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("error").isNull()).drop("error"), df.where(F.col("error").isNotNull()).select("path", "error")
 
 
-def write_catalog(defs: DataFrame, path: str) -> None:
-    """A new version of the definitions by kind, then the meta row that publishes it.
+def write_catalog(defs: DataFrame, path: str) -> int:
+    """A new version of the definitions by kind, then the numbered manifest that publishes it.
 
-    Readers see the version of the newest meta row, so a write that breaks off leaves
-    the catalog as it was.
+    Readers see the version of the highest number, so a write that breaks off leaves the
+    catalog as it was. A number is taken by creating its file, which only one of two
+    writers can do; the other takes the next one. Gives the number.
     """
+    spark = defs.sparkSession
     version = uuid.uuid4().hex
     where = f"{path}/definitions/version={version}"
     defs.write.partitionBy("kind").parquet(where)
-    stored = defs.sparkSession.read.parquet(where)
+    stored = spark.read.parquet(where)
     catalog_meta(stored).withColumn("version", F.lit(version)).write.mode("append").parquet(f"{path}/meta")
+    number = max(_numbers(spark, path), default=0) + 1
+    while not claim(spark, f"{path}/manifest/{number}", version):
+        number += 1
+    return number
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(name) for name, _ in names_in(spark, f"{path}/manifest") if name.isdigit())
+
+
+def _published(spark: SparkSession, path: str) -> str:
+    """The version of the highest number; a manifest that broke off while it was made is empty and does not count."""
+    for number in reversed(_numbers(spark, path)):
+        line = spark.read.text(f"{path}/manifest/{number}").first()
+        if line is not None:
+            return line["value"]
+    raise FileNotFoundError(f"no published catalog in {path}")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Definitions of the newest complete version; fails when there is none."""
-    newest = spark.read.parquet(f"{path}/meta").orderBy(F.desc("installed_at"), "version").first()
-    return spark.read.parquet(f"{path}/definitions/version={newest['version']}")
+    """Definitions of the newest published version; fails when there is none."""
+    return spark.read.parquet(f"{path}/definitions/version={_published(spark, path)}")
+
+
+def clean_catalog(spark: SparkSession, path: str, older_than_hours: float = 24.0) -> list[str]:
+    """Remove versions that are not the published one and that no writer has touched for that long."""
+    keep, limit = _published(spark, path), time.time() * 1000 - older_than_hours * 3_600_000
+    versions = [(name.removeprefix("version="), changed) for name, changed in names_in(spark, f"{path}/definitions")]
+    gone = [v for v, changed in versions if v != keep and changed <= limit]
+    for v in gone:
+        remove(spark, f"{path}/definitions/version={v}")
+    return gone
 
 
 def catalog_meta(defs: DataFrame) -> DataFrame:

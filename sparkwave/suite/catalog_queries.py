@@ -93,6 +93,14 @@ def cat10(spark, sf):
     return C.model_defs_for_parts(defs(spark, sf)).select("name", "type", "path", "line", "params")
 
 
+@query("cat10_written_catalog", DEFS + "SELECT name, type, path, line, params FROM d WHERE kind = 'model' AND params <> ''")
+def cat10_written(spark, sf):
+    """From the catalog as written: only the folder of models is read."""
+    where = shared_folder(spark, "catalog")
+    O.write_catalog(defs(spark, sf), where)
+    return C.model_defs_for_parts(O.read_catalog(spark, where)).select("name", "type", "path", "line", "params")
+
+
 @query(
     "set3_default_parts",
     PARTS + """, q AS (SELECT 'B' || s_suppkey AS id, CASE WHEN s_nationkey % 2 = 0 THEN 'diode' ELSE 'npn' END AS kind, 0 AS lib FROM supplier UNION ALL SELECT id, kind, 1 FROM p WHERE kind IS NOT NULL)
@@ -140,6 +148,25 @@ def top2(spark, sf):
     return C.search_symbols(defs(spark, sf), "g", 12)
 
 
+LONGER = SEARCH.replace("'g'", "'dge'")
+
+
+@query("top1_search_index", LONGER + "SELECT name, CAST(rank AS INTEGER) AS rank FROM r ORDER BY rank, length(name), name LIMIT 10")
+def top1_index(spark, sf):
+    """Only the three-letter pieces of the query are read."""
+    where = shared_folder(spark, "names")
+    C.write_name_index(defs(spark, sf), where)
+    return C.search_index(spark, where, " DGE", 10)
+
+
+@query("top2_search_index", SEARCH + "SELECT name, CAST(rank AS INTEGER) AS rank FROM r ORDER BY rank, name LIMIT 12")
+def top2_index(spark, sf):
+    """A query of one letter, which has no piece."""
+    where = shared_folder(spark, "names")
+    C.write_name_index(defs(spark, sf), where)
+    return C.search_index(spark, where, "g", 12, by_length=False)
+
+
 @query("top1_blank_query", "SELECT CAST(0 AS BIGINT) AS n")
 def top1_blank(spark, sf):
     """A blank query finds nothing; counted so that a row comes back."""
