@@ -114,6 +114,34 @@ def mc3(spark, sf):
     return cases(spark, sf).select("case_id", rounded(K.param("r"), 5, "r"), rounded(K.param("c"), 6, "c"))
 
 
+TRIALS = _draw("5", "q.k", "case_id, j", "(SELECT case_id, case_id * 3 + j AS k, j FROM (SELECT unnest(range((SELECT count(*) FROM part))) AS case_id), (SELECT unnest([0, 1, 2]) AS j)) q") + """, s AS (SELECT case_id,
+    max(x) FILTER (j = 0) AS u, max(x) FILTER (j = 1) AS w, max(x) FILTER (j = 2) AS q FROM m GROUP BY case_id),
+o AS (SELECT case_id, 1000 * (1 + 0.05 / 3 * sqrt(-2 * ln(u)) * cos(2 * pi() * w)) AS r, 40 * (1 + 0.2 * (q * 2 - 1)) AS c FROM s)
+"""
+SPEC = [("r", 1000.0, 0.05, "gauss"), ("c", 40.0, 0.2, "uniform")]
+
+
+@query("mc3_sample_sets", TRIALS + "SELECT case_id, round(r, 5) AS r, round(c, 6) AS c FROM o")
+def mc3_sets(spark, sf):
+    """As many trials as there are parts."""
+    made = K.sample_sets(spark, SPEC, table(spark, sf, "part").count(), seed=5)
+    return made.select("case_id", rounded(K.param("r"), 5, "r"), rounded(K.param("c"), 6, "c"))
+
+
+@query(
+    "mc5_monte_carlo_run",
+    TRIALS + """, e AS (SELECT r * c AS value FROM o WHERE c <= 45), k AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM e)
+    SELECT 'tau' AS name, count(*) AS n, round(avg(value), 3) AS mean, round(stddev_samp(value), 3) AS sd,
+    round(max(value) FILTER (r = floor(0.01 * (n - 1) + 0.5)), 3) AS p1, round(max(value) FILTER (r = floor(0.5 * (n - 1) + 0.5)), 3) AS p50,
+    round(max(value) FILTER (r = floor(0.99 * (n - 1) + 0.5)), 3) AS p99 FROM k""",
+)
+def mc5_run(spark, sf):
+    guard = F.when(K.param("c") > 45, F.lit("capacitance out of range"))
+    trials = table(spark, sf, "part").count()
+    _, s = K.monte_carlo(spark, SPEC, trials, 5, {"tau": K.param("r") * K.param("c")}, guard)
+    return s.select("name", "n", *[rounded(c, 3) for c in ("mean", "sd", "p1", "p50", "p99")])
+
+
 FAILED = "CASE WHEN c > 45 THEN 'capacitance out of range' END"
 
 
